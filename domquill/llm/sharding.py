@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
-def shard_by_bytes(docs: DataFrame, n_shards: int = 8, key: str = "doc_id", text: str = "text", blocks: int | None = None) -> DataFrame:
+def shard_by_bytes(docs: DataFrame, n_shards: int = 8, key: str = "doc_id", text: str = "text", blocks: int | None = None, columns: list[str] | None = None) -> DataFrame:
     """``docs`` with ``size``, ``shard`` and ``slot``: shards are contiguous in order of ``key``.
 
     Rows are range-partitioned by key into blocks; a total per block gives each block its global
@@ -19,11 +19,12 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 8, key: str = "doc_id", text
 
     A null text has size 1 (its terminator), so has an empty one; null keys come first; rows of
     equal key are ordered by their text's hash, and rows equal in both are interchangeable.
-    Columns of ``docs`` named size, shard or slot are replaced. An empty table gives no rows.
+    ``columns`` are what comes along, all by default; a text that is only measured needn't be
+    moved. Columns of ``docs`` named size, shard or slot are replaced. An empty table gives no rows.
     """
     spark = docs.sparkSession
     blocks = blocks or max(16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    own = [c for c in docs.columns if c not in ("size", "shard", "slot")]
+    own = [c for c in (columns or docs.columns) if c not in ("size", "shard", "slot")]
     sized = docs.select(
         F.struct(*own).alias("row"),
         docs[key].alias("k"),
