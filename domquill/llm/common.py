@@ -64,3 +64,11 @@ def utf8(text: Column) -> Column:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def held(value: Column) -> Column:
+    """``value``, worked out once a row. The optimizer copies a deterministic expression into each
+    place that reads it, the body of an array function too, where it would then run once an
+    element; it copies none that
+    depends on the row's number."""
+    return F.when(F.monotonically_increasing_id() >= 0, value)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, held
 
 BLANKS = " \t\x0b\x0c\r"
 
@@ -24,21 +24,21 @@ def with_chunks(docs: DataFrame, text: str, passage_words: int, mask: int) -> Da
     rules see content only, so an edit moves no boundary beyond the next one. Arrays are indexed
     and sliced, never grown, so the work stays linear in a long text.
     """
-    out = docs.withColumn("lines", F.split(F.coalesce(docs[text], F.lit("")), "\n", -1))
-    out = out.withColumn("line_hash", F.transform("lines", lambda x: F.xxhash64(x))).withColumn("long_line", F.transform("lines", lambda x: n_words(x) >= passage_words))
+    out = docs.withColumn("lines", held(F.split(F.coalesce(docs[text], F.lit("")), "\n", -1)))
+    out = out.withColumn("line_hash", held(F.transform("lines", lambda x: F.xxhash64(x)))).withColumn("long_line", held(F.transform("lines", lambda x: n_words(x) >= passage_words)))
     last = F.size("lines") - 1
 
     def ends(i: Column) -> Column:
         rolled = F.xxhash64(F.when(i > 0, F.get("line_hash", i - 1)), F.get("line_hash", i))
         return (i == last) | F.get("long_line", i) | F.coalesce(F.get("long_line", i + 1), F.lit(False)) | (rolled.bitwiseAND(F.lit(mask)) == 0)
 
-    out = out.withColumn("cuts", F.filter(F.sequence(F.lit(0), last), ends))
+    out = out.withColumn("cuts", held(F.filter(F.sequence(F.lit(0), last), ends)))
 
     def chunk(end: Column, j: Column) -> Column:
         at = F.when(j > 0, F.get("cuts", j - 1) + 1).otherwise(0)
         return F.struct(at.alias("at"), (end - at + 1).alias("n"))
 
-    return out.withColumn("chunks", F.transform("cuts", chunk)).drop("line_hash", "long_line", "cuts")
+    return out.withColumn("chunks", held(F.transform("cuts", chunk))).drop("line_hash", "long_line", "cuts")
 
 
 def chunk_text(chunk: Column) -> Column:
@@ -65,9 +65,11 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", passag
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     base = docs.select(F.struct(*own).alias("row"), docs[key].alias("k"), F.xxhash64(docs[text]).alias("tie"), docs[text].alias("body"))
     chunked = with_chunks(base, "body", passage_words, mask)
-    one = chunked.select("k", "tie", "lines", F.posexplode("chunks").alias("j", "chunk"))
-    one = one.withColumn("piece", chunk_text(F.col("chunk")))
-    slim = cut(one.select("k", "tie", "j", F.xxhash64("piece").alias("h"), F.octet_length("piece").alias("bytes"), F.aggregate(F.split("piece", "\n", -1), F.lit(0), lambda a, x: a + n_words(x)).alias("words")).where("words > 0"), "line-chunks")
+    # Exploded rows carry a chunk's figures, never the document's arrays.
+    pieces = chunked.select("k", "tie", held(F.transform("chunks", chunk_text)).alias("pieces"))
+    words = lambda x: F.aggregate(F.split(x, "\n", -1), F.lit(0), lambda n, y: n + n_words(y))
+    figures = pieces.select("k", "tie", held(F.transform("pieces", lambda x: F.struct(F.xxhash64(x).alias("h"), F.octet_length(x).alias("bytes"), words(x).alias("words")))).alias("figures"))
+    slim = cut(figures.select("k", "tie", F.posexplode("figures").alias("j", "f")).select("k", "tie", "j", "f.*").where("words > 0"), "line-chunks")
     place = F.struct("k", "tie", "j")
     repeated = slim.groupBy("h", "bytes").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last")
     flagged = cut(slim.join(repeated.select("h", "bytes", "first"), ["h", "bytes"]).where(place != F.col("first")).distinct(), "line-repeats")
@@ -76,7 +78,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", passag
     wanted = flagged.select("k", "tie", "j", "h", "bytes", F.lit(False).alias("kept")).unionByName(flagged.select("first.*", "h", "bytes", F.lit(True).alias("kept")).distinct())
     by_doc = wanted.groupBy("k", "tie").agg(F.collect_list(F.struct("j", "h", "bytes", "kept")).alias("wanted")).withColumnsRenamed({"k": "k2", "tie": "tie2"})
     same_doc = F.col("k").eqNullSafe(F.col("k2")) & (F.col("tie") == F.col("tie2"))
-    texts = chunked.select("k", "tie", "lines", "chunks").join(by_doc, same_doc).select("k", "tie", "lines", "chunks", F.explode("wanted").alias("w")).select("k", "tie", "w.*", chunk_text(F.get("chunks", F.col("w.j"))).alias("piece"))
+    texts = chunked.select("k", "tie", "lines", "chunks").join(by_doc, same_doc).select("k", "tie", held(F.transform("wanted", lambda w: F.struct(w["j"].alias("j"), w["h"].alias("h"), w["bytes"].alias("bytes"), w["kept"].alias("kept"), chunk_text(F.get("chunks", w["j"])).alias("piece")))).alias("wanted"))
+    texts = texts.select("k", "tie", F.inline("wanted"))
     first = texts.where("kept").select("h", "bytes", F.col("piece").alias("first_piece")).groupBy("h", "bytes").agg(F.min("first_piece").alias("first_piece"))
     equal = texts.where("not kept").join(first, ["h", "bytes"]).where("piece = first_piece").select("k", "tie", "j").distinct()
     counted = flagged.select("k", "tie", "j", "words").join(equal.withColumnsRenamed({"k": "k2", "tie": "tie2", "j": "j2"}), same_doc & (F.col("j") == F.col("j2")), "left_semi")
@@ -85,8 +88,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", passag
     gone = cut(runs.groupBy("k", "tie").agg(F.collect_set("j").alias("gone")).withColumnsRenamed({"k": "k2", "tie": "tie2"}), "line-removals")
 
     left = chunked.join(gone, same_doc, "left")
-    kept = F.transform(F.array_except(F.transform("chunks", lambda _, j: j), "gone"), lambda j: F.get("chunks", j))
-    left = left.withColumn("kept_lines", F.when(F.col("gone").isNotNull(), F.flatten(F.transform(kept, lambda c: F.slice("lines", c["at"] + 1, c["n"])))))
+    left = left.withColumn("kept", held(F.transform(F.array_except(F.transform("chunks", lambda _, j: j), "gone"), lambda j: F.get("chunks", j))))
+    left = left.withColumn("kept_lines", held(F.when(F.col("gone").isNotNull(), F.flatten(F.transform("kept", lambda c: F.slice("lines", c["at"] + 1, c["n"]))))))
     cleaned = F.when(F.col("gone").isNull(), F.col("body")).otherwise(F.array_join("kept_lines", "\n"))
     done = left.select("row", cleaned.alias("cleaned"), F.size("lines").alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("lines") - F.size("kept_lines")).alias("n_removed"))
     if drop_emptied:
