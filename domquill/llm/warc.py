@@ -61,9 +61,12 @@ def write_archive(pages: DataFrame, path: str | None = None, key: str = "page_id
         F.lit(END),
     )
     both.select("record_id", "sha256", F.encode(header, "UTF-8").alias("header")).write.parquet(f"{path}/headers")
-    keep = spark.read.parquet(f"{path}/headers").where(~F.decode("header", "UTF-8").contains("WARC-Refers-To: ")).select(F.col("record_id").alias("id"), F.col("sha256").alias("digest")).distinct()
-    store = pages.select(pages[key].cast("long").alias("record_id"), body.alias("payload")).join(keep, F.col("record_id").eqNullSafe(F.col("id")))
-    store = store.where(F.sha2("payload", 256) == F.col("digest")).select(F.col("digest").alias("sha256"), "payload").dropDuplicates(["sha256"])
+    # Joined by record, not by digest: copies of one payload are spread, and each partition then
+    # has all rows of a record, so rows that repeat go without another shuffle.
+    number = lambda c: F.coalesce(c.cast("long"), F.lit(-(2**63)))
+    keep = spark.read.parquet(f"{path}/headers").where(~F.decode("header", "UTF-8").contains("WARC-Refers-To: ")).select(number(F.col("record_id")).alias("id"), F.col("sha256").alias("digest")).distinct()
+    store = pages.select(number(pages[key]).alias("id"), body.alias("payload")).join(keep, "id")
+    store = store.where(F.sha2("payload", 256) == F.col("digest")).dropDuplicates(["id", "digest"]).select(F.col("digest").alias("sha256"), "payload")
     store.write.parquet(f"{path}/payloads")
     return path
 
