@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -72,3 +73,9 @@ def held(value: Column) -> Column:
     element; it copies none that
     depends on the row's number."""
     return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let the session drop the shuffle files of finished steps now, not when memory runs out."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
