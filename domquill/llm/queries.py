@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, packing, sharding, warc
-from .common import arrow_rows, read
+from . import decontamination, langid, line_dedup, lm, media, near_dedup, packing, quality, sharding, warc
+from .common import read
 
 
 def tokenizer_path() -> str:
@@ -17,22 +17,49 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read(spark, sf_dir, "documents"), n=2, similarity=0.8)
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.find_contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     listed = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.encode(listed, "UTF-8"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(read(spark, sf_dir, "documents"))
+
+
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.tiff_features(media.tiff_column(read(spark, sf_dir, "documents")), "doc_id")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read(spark, sf_dir, "pages"), langid.fit_text(read(spark, sf_dir, "documents")))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", F.col("text"), F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32"))
     out = sharding.shard_by_bytes(docs, n_shards=8, columns=["doc_id", "text_crc32"])
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def held_out(parts: int):
+    """The contracts' test rows: those whose key's CRC-32, as text, leaves 0."""
+    return F.pmod(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")), F.lit(parts)) == 0
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality.fit(docs, read(spark, sf_dir, "labels").where(~held_out(5))))
+    return scored.select("doc_id", F.coalesce(held_out(5), F.lit(False)).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -42,9 +69,14 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_dedup": op1_near_dedup,
     "op2_decontamination": op2_decontamination,
+    "op3_lm": op3_lm,
+    "op4_media": op4_media,
     "op5_packing": op5_packing,
+    "op6_language": op6_language,
     "op7_sharding": op7_sharding,
+    "op8_quality": op8_quality,
     "op9_line_dedup": op9_line_dedup,
     "op10_warc": op10_warc,
 }
@@ -53,6 +85,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, {10 * k + 1}, 10))::bigint >> {5 * i}) & 31)::int + 1, 1)" for k in range(4) for i in range(7, -1, -1))
 
 ORACLES: dict[str, str] = {
+    "op1_near_dedup": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i:i + least(2, len(words)) - 1], ' ') AS gram
+  FROM w, unnest(range(1, len(words) - least(2, len(words)) + 2)) AS t(i) WHERE len(words) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+link AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM s a JOIN s b ON a.gram = b.gram AND a.doc_id < b.doc_id
+  JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+  WHERE least(na.n, nb.n) * 100 >= 80 * greatest(na.n, nb.n)
+  GROUP BY ALL HAVING 100 * count(*) >= 80 * (any_value(na.n) + any_value(nb.n) - count(*))),
+ends AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, b.y FROM reach r JOIN ends b ON b.x = r.y)
+SELECT d.doc_id, coalesce(n.n, 0)::bigint AS n_shingles, r.c AS component_id, d.doc_id = r.c AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT x, min(y) AS c FROM reach GROUP BY x) r ON r.x = d.doc_id""",
     "op2_decontamination": r"""
 WITH w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
