@@ -109,15 +109,19 @@ def _stars(like: np.ndarray, low: float) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def _candidates(rows: DataFrame, low: float, every: bool) -> DataFrame:
-    """Pairs (a, b) of nodes from rows (cell, node, n_shingles, part, low bytes) in order.
+def _candidates(rows: DataFrame, low: float, confirm: tuple[int, float] | None = None) -> DataFrame:
+    """Pairs (a, b) of nodes from rows (cell, node, n_shingles, part, low bytes[, body]) in order.
 
-    ``every``: all pairs that are alike enough and whose ``part`` differs; else few that hold
-    together what is alike.
+    Without ``confirm``: few pairs, that hold together what is alike and are yet to be confirmed.
+    With it (shingle length, similarity): of all pairs that are alike enough and whose parts
+    differ, those that full sets confirm, until they join the block's parts; such pairs are told
+    apart where they meet, and only links come out.
     """
 
     def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, nodes, sizes, known, bytes_ = None, [], [], [], []
+        cell, nodes, sizes, known, bytes_, bodies = None, [], [], [], [], []
+        columns = (nodes, sizes, known, bytes_, bodies)
+        sets = _Sets(*confirm) if confirm else None
 
         def compare(fresh: int) -> pa.RecordBatch:
             # The first rows are a large region's first ones, kept as hubs, and half a block of
@@ -127,23 +131,27 @@ def _candidates(rows: DataFrame, low: float, every: bool) -> DataFrame:
             like = _likeness(b, b)
             like[np.minimum(size[:, None], size[None, :]) < (low + SLACK) * 0.999 * np.maximum(size[:, None], size[None, :])] = 0
             like[x[:, None] == x[None, :]] = 0
-            if every:
+            if confirm:
                 like[part[:, None] == part[None, :]] = 0
                 i, j = np.nonzero(np.triu(like >= low, 1))
+                new = j >= fresh
+                i, j = i[new], j[new]
+                order = np.argsort(-like[i, j], kind="stable")
+                found = sets.links(x, bodies, part, i[order], j[order])
+                i, j = np.array([p[0] for p in found], int), np.array([p[1] for p in found], int)
             else:
-                found = _stars(like, low)
+                found = [p for p in _stars(like, low) if p[1] >= fresh]
                 i, j = np.array([p[0] for p in found], int), np.array([p[1] for p in found], int)
-            new = j >= fresh
-            a, z = np.minimum(x[i], x[j])[new], np.maximum(x[i], x[j])[new]
-            return pa.record_batch([pa.array(a, pa.int64()), pa.array(z, pa.int64())], ["a", "b"])
+            return pa.record_batch([pa.array(np.minimum(x[i], x[j]), pa.int64()), pa.array(np.maximum(x[i], x[j]), pa.int64())], ["a", "b"])
 
         def clear(keep: int = 0) -> None:
-            for column in (nodes, sizes, known, bytes_):
+            for column in columns:
                 column[:] = column[: min(keep, 16)] + column[-keep:] if keep else []
 
         fresh = 0
         for batch in batches:
-            for c, node, size, part, raw in zip(*(batch.column(k).to_pylist() for k in range(5))):
+            cells, *values = (batch.column(k).to_pylist() for k in range(5 + bool(confirm)))
+            for c, *row in zip(cells, *values):
                 if c != cell:
                     if len(nodes) > max(1, fresh):
                         yield compare(fresh)
@@ -153,38 +161,76 @@ def _candidates(rows: DataFrame, low: float, every: bool) -> DataFrame:
                     yield compare(fresh)
                     clear(REGION // 2)
                     fresh = len(nodes)
-                nodes.append(node), sizes.append(size), known.append(part), bytes_.append(raw)
+                for column, value in zip(columns, row):
+                    column.append(value)
         if len(nodes) > max(1, fresh):
             yield compare(fresh)
 
-    return arrow_rows(rows, 4096).mapInArrow(pairs_of, "a long, b long").distinct()
+    return arrow_rows(rows, 512 if confirm else 4096).mapInArrow(pairs_of, "a long, b long").distinct()
+
+
+class _Sets:
+    """Full shingle sets of a task's nodes, worked out when asked for; and what was found of pairs."""
+
+    def __init__(self, n: int, similarity: float):
+        self.n, self.percent = n, round(similarity * 100)
+        self.kept: dict[int, np.ndarray] = {}
+        self.told: dict[tuple[int, int], bool] = {}
+        self.held = 0
+
+    def need(self, wanted: dict[int, str]) -> None:
+        if self.held > PART:
+            self.kept.clear()
+            self.held = 0
+        fresh = {k: t for k, t in wanted.items() if k not in self.kept}
+        for k, s in zip(fresh, shingle_sets([(t or "").encode("utf-8", "surrogatepass").lower() for t in fresh.values()], self.n)):
+            self.kept[k] = s
+            self.held += len(s)
+
+    def linked(self, a: int, b: int) -> bool:
+        x, y = self.kept[a], self.kept[b]
+        both = np.concatenate((x, y))
+        both.sort(kind="stable")  # two sorted runs are merged
+        common = int(np.count_nonzero(both[1:] == both[:-1]))
+        return 100 * common >= self.percent * (len(x) + len(y) - common)
+
+    def links(self, nodes: np.ndarray, bodies: list[str], part: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
+        """Pairs, likeliest first, that are linked and join parts not joined before."""
+        used = np.unique(np.concatenate((i, j)))
+        self.need({int(nodes[k]): bodies[k] for k in used})
+        if len(self.told) > 2_000_000:
+            self.told.clear()
+        up = {int(p): int(p) for p in part}
+
+        def top(p: int) -> int:
+            while up[p] != p:
+                up[p] = up[up[p]]
+                p = up[p]
+            return p
+
+        out = []
+        for a, b in zip(i.tolist(), j.tolist()):
+            p, q = top(int(part[a])), top(int(part[b]))
+            if p == q:
+                continue
+            pair = (int(nodes[a]), int(nodes[b]))
+            if pair not in self.told:
+                self.told[pair] = self.linked(*pair)
+            if self.told[pair]:
+                up[max(p, q)] = min(p, q)
+                out.append((a, b))
+        return out
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, n: int, similarity: float) -> DataFrame:
     """The pairs whose full shingle sets reach the similarity."""
-    percent = round(similarity * 100)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[int, np.ndarray] = {}
-        held = 0
+        sets = _Sets(n, similarity)
         for batch in batches:
-            for side in (0, 1):
-                want = {k: i for i, k in enumerate(batch.column(side).to_pylist()) if k not in kept}
-                bodies = batch.column(2 + side)
-                for k, s in zip(want, shingle_sets(text_bytes([bodies[i] for i in want.values()], lower=True), n)):
-                    kept[k] = s
-                    held += len(s)
-            yes = []
-            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                x, y = kept[a], kept[b]
-                both = np.concatenate((x, y))
-                both.sort()
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                yes.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(yes, pa.bool_()))
-            if held > PART:
-                kept.clear()
-                held = 0
+            a, b, x, y = (batch.column(k).to_pylist() for k in range(4))
+            sets.need(dict(zip(a, x)) | dict(zip(b, y)))
+            yield pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array([sets.linked(*p) for p in zip(a, b)], pa.bool_()))
 
     one = texts.select(F.col("node").alias("b"), F.col("body").alias("body_b"))
     both = pairs.join(one, "b").join(texts.select(F.col("node").alias("a"), F.col("body").alias("body_a")), "a")
@@ -226,8 +272,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, key: s
     with another are compared there by their signatures, with all of their region up to REGION
     rows, beyond that with the neighbours of longest common prefix and the region's first rows.
     A first round confirms, on full sets of whole texts, few pairs that hold together what is
-    alike, and joins what is linked; the second confirms every pair left whose ends are still
-    apart, so no link between compared nodes is lost while a group of m costs about m pairs.
+    alike, and joins what is linked; the second holds every pair left whose ends are still apart
+    against full sets where it meets, so no link between compared nodes is lost, while a group of m
+    costs about m pairs and only links come out of the second round.
 
     Texts without words are linked with nothing. Null keys are linked with nothing and have a null
     component; rows of one key count as one node with one of their sets. An empty table gives no rows.
@@ -254,17 +301,18 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, key: s
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     low = similarity - SLACK
 
-    def ordered(x: DataFrame) -> DataFrame:
+    def ordered(x: DataFrame, *more: str) -> DataFrame:
         x = x.repartitionByRange(ranges, "cell", "rest").sortWithinPartitions("cell", "rest", "node")
-        return x.select("cell", "node", "n_shingles", "part", "low")
+        return x.select("cell", "node", "n_shingles", "part", "low", *more)
 
-    first = cut(_candidates(ordered(rows.withColumn("part", F.col("node"))), low, every=False), "near-pairs")
+    first = cut(_candidates(ordered(rows.withColumn("part", F.col("node"))), low), "near-pairs")
     links = cut(_confirm(first, texts, n, similarity), "near-links")
     free_shuffles(spark)
     parts_ = components(links)
-    again = rows.join(parts_, "node", "left").withColumn("part", F.coalesce("part", "node"))
-    more = cut(_candidates(ordered(again), low, every=True).join(first, ["a", "b"], "left_anti"), "near-pairs")
-    late = cut(_confirm(more, texts, n, similarity), "near-links")
+    again = cut(rows.join(parts_, "node", "left").withColumn("part", F.coalesce("part", "node")), "near-apart")
+    apart = again.groupBy("cell").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("cell")
+    again = again.join(apart, "cell", "left_semi").join(texts, "node")
+    late = cut(_candidates(ordered(again, "body"), low, (n, similarity)), "near-links")
     if not late.isEmpty():
         parts_ = components(links.unionByName(late))
     for table in (rows, texts, met):
