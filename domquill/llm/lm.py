@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, cut, drop_table, free_shuffles
+from .common import arrow_rows, cut, drop_table, free_shuffles, new_table_path
 from .hashing import Q, hashed_words, joined, mix, parts, text_bytes
 
 #: Text of one block of documents, in bytes, and keys of one bucket of counts, roughly.
@@ -134,8 +135,7 @@ class Block:
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, table.schema) as w:
             w.write_table(table)
-        told = {k: (_pack(v), v.dtype.str) for k, v in self.told.items()}
-        return STATE, self.name, 0, None, _pickled((sink.getvalue().to_pybytes(), _pack(self.tokens), _pack_keys(self.words), told))
+        return STATE, self.name, 0, None, _pickled((sink.getvalue().to_pybytes(), _pack(self.tokens), _pack_keys(self.words)))
 
 
 def _pickled(x) -> bytes:
@@ -147,9 +147,9 @@ def _pickled(x) -> bytes:
 def _restored(name: str, body: bytes) -> Block:
     import pickle
 
-    docs, tokens, words, told = pickle.loads(zstandard.decompress(bytes(body)))
+    docs, tokens, words = pickle.loads(zstandard.decompress(bytes(body)))
     table = pa.ipc.open_stream(docs).read_all().to_pandas()
-    return Block(name, table, _unpack(tokens, np.int32), _unpack_keys(words), {k: _unpack(v, t) for k, (v, t) in told.items()})
+    return Block(name, table, _unpack(tokens, np.int32), _unpack_keys(words), {})
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
@@ -266,58 +266,67 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int =
     """
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    state = cut(_blocks(docs, key, text, folds, buckets), "lm-blocks")
-    totals: dict[str, int] = {}
-
-    def turn(state: DataFrame, tell: Callable[[Block], list[tuple]]) -> DataFrame:
-        answers = cut(state.where(F.col("kind") >= 0).groupBy("bucket").applyInPandas(_reduced, MESSAGE), "lm-answers")
-        if not totals:
-            found = answers.where(F.col("kind") == DISTINCT).select("body").toLocalIterator()
+    made = _apart(_blocks(docs, key, text, folds, buckets))
+    if made is None:
+        return spark.createDataFrame([], RESULT).withColumnRenamed("id", key)
+    blocks, messages = made
+    n = int(blocks.mapInArrow(_train_tokens, "n long").agg(F.sum("n")).first()[0])
+    answers: list[DataFrame] = []
+    totals = {"n": n, "v": 0}
+
+    def turn(messages: DataFrame, tell: Callable[[Block, dict], pd.DataFrame], schema: str, name: str) -> DataFrame:
+        """Answer the messages, then let each block tell what it makes of all answers so far. The
+        blocks are written once; of the steps' tables only the answers stay."""
+        answers.append(cut(messages.groupBy("bucket").applyInPandas(_reduced, MESSAGE), "lm-answers"))
+        drop_table(messages)
+        free_shuffles(spark)
+        if not totals["v"]:
+            found = answers[0].where(F.col("kind") == DISTINCT).select("body").toLocalIterator()
             totals["v"] = sum(int(_unpack(r["body"], np.int64)[0]) for r in found)
-        n_v = dict(totals)
+        known, empty = dict(totals), [f.split()[0] for f in schema.split(", ")]
 
-        def merge(blocks: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-            return tell(_told(blocks, told), n_v) if len(blocks) else tell(None, n_v)
+        def merge(block: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+            return tell(_told(block, told), known) if len(block) else pd.DataFrame([], columns=empty)
 
-        kept = state.where(F.col("kind") == STATE).select("block", "body").groupBy("block")
-        both = kept.cogroup(answers.where(F.col("kind") != DISTINCT).select("kind", "block", "bucket", "body").groupBy("block"))
-        out = cut(both.applyInPandas(merge, MESSAGE if tell is not _scores else RESULT), "lm-state" if tell is not _scores else "lm-scores")
-        drop_table(state)
-        drop_table(answers)
+        told = reduce(DataFrame.unionByName, answers).where(F.col("kind") != DISTINCT)
+        both = blocks.select("block", "body").groupBy("block").cogroup(told.select("kind", "block", "bucket", "body").groupBy("block"))
+        out = cut(both.applyInPandas(merge, schema), name)
         free_shuffles(spark)
         return out
 
-    n_tokens = state.where(F.col("kind") == STATE).mapInArrow(_train_tokens, "n long").agg(F.sum("n")).first()[0] or 0
-    totals_n = int(n_tokens)
-    if not state.where(F.col("kind") == STATE).take(1):
-        return spark.createDataFrame([], RESULT).withColumnRenamed("id", key)
-
-    def first(block: Block | None, n_v: dict) -> pd.DataFrame:
-        if block is None:
-            return _frame([])
+    def bigrams(block: Block, known: dict) -> pd.DataFrame:
         block.level1()
-        return _frame([block.stored(), *block.split(BIGRAMS, block.keys1, block.counts(block.keys1, block.at1), buckets)])
+        return _frame(block.split(BIGRAMS, block.keys1, block.counts(block.keys1, block.at1), buckets))
 
-    def second(block: Block | None, n_v: dict) -> pd.DataFrame:
-        if block is None:
-            return _frame([])
+    def trigrams(block: Block, known: dict) -> pd.DataFrame:
         block.level1()
         block.level2()
-        base = block.base(totals_n, n_v["v"])
-        contexts, sums = block.evidence(BIGRAMS, block.keys1, block.at1, base, block.context1, block.n_context1)
-        return _frame([block.stored(), *block.split(CONTEXTS1, contexts, sums, buckets), *block.split(TRIGRAMS, block.keys2, block.counts(block.keys2, block.at2), buckets)])
-
-    def third(block: Block | None, n_v: dict) -> pd.DataFrame:
-        if block is None:
-            return _frame([])
-        lower = _level1(block, totals_n, n_v["v"])
+        contexts, sums = block.evidence(BIGRAMS, block.keys1, block.at1, block.base(known["n"], known["v"]), block.context1, block.n_context1)
+        return _frame([*block.split(CONTEXTS1, contexts, sums, buckets), *block.split(TRIGRAMS, block.keys2, block.counts(block.keys2, block.at2), buckets)])
+
+    def contexts2(block: Block, known: dict) -> pd.DataFrame:
+        lower = _level1(block, known["n"], known["v"])
         block.level2()
         contexts, sums = block.evidence(TRIGRAMS, block.keys2, block.at2, lower, block.context2, block.n_context2)
-        return _frame([block.stored(), *block.split(CONTEXTS2, contexts, sums, buckets)])
+        return _frame(block.split(CONTEXTS2, contexts, sums, buckets))
+
+    for tell in (bigrams, trigrams, contexts2):
+        messages = turn(messages, tell, MESSAGE, "lm-messages")
+    out = turn(messages, _scores, RESULT, "lm-scores")
+    for table in (blocks, *answers):
+        drop_table(table)
+    return out.withColumnRenamed("id", key)
+
 
-    state = turn(turn(turn(state, first), second), third)
-    totals["n"] = totals_n
-    return turn(state, _scores).withColumnRenamed("id", key)
+def _apart(df: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """Blocks and their first messages, made in one scan and written to a folder each; none
+    without documents."""
+    spark = df.sparkSession
+    path = new_table_path(spark, "lm-blocks")
+    df.withColumn("message", (F.col("kind") != STATE).cast("int")).write.partitionBy("message").parquet(path)
+    if spark.read.schema(MESSAGE).parquet(path).isEmpty():
+        return None
+    return tuple(spark.read.schema(MESSAGE).parquet(f"{path}/message={k}") for k in (0, 1))
 
 
 def _level1(block: Block, n: int, v: int) -> np.ndarray:
@@ -333,10 +342,8 @@ def _train_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.record_batch([pa.array([int(b.train.sum()) for b in blocks], pa.int64())], ["n"])
 
 
-def _scores(block: Block | None, totals: dict) -> pd.DataFrame:
+def _scores(block: Block, totals: dict) -> pd.DataFrame:
     names = ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    if block is None:
-        return pd.DataFrame([], columns=names)
     n, v = totals["n"], totals["v"]
     lower = _level1(block, n, v)
     block.level2()
