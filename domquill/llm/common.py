@@ -79,3 +79,13 @@ def free_shuffles(spark: SparkSession) -> None:
     """Let the session drop the shuffle files of finished steps now, not when memory runs out."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+#: Numbers (of 8 bytes, with some tens of bytes around each row) that one broadcast holds at most.
+BROADCAST_NUMBERS = 2_000_000
+
+
+def small(df: DataFrame, numbers: int) -> DataFrame:
+    """``df``, to be broadcast if its counted ``numbers`` are within the bound, else joined by
+    shuffle."""
+    return F.broadcast(df) if numbers <= BROADCAST_NUMBERS else df

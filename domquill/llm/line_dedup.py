@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, free_shuffles, held
+from .common import cut, held, small
 
 BLANKS = " \t\x0b\x0c\r"
 
@@ -47,46 +47,41 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", passag
     whole input by hash and length; the occurrence first in order of (key, text hash, position)
     stays. The other occurrences go if their bytes equal the kept one's and the unbroken run of
     such chunks that they are part of has at least ``passage_bytes`` bytes (180 are about thirty
-    words): lone short lines that many documents have (headings, license lines) stay. Rows with equal key and text count as one
-    document and get the same result. A null text has no passage and stays null; an empty one
-    stays empty; null keys come first. With ``drop_emptied`` documents go of which nothing is
+    words): lone short lines that many documents have (headings, license lines) stay. Rows with
+    equal key and text count as one document and get the same result. A null text has no passage
+    and stays null; an empty one stays empty; null keys come first. With ``drop_emptied`` documents go of which nothing is
     left. Columns of ``docs`` named n_lines or n_removed are replaced.
 
-    Only (hash, length, position) rows are grouped; a text is shuffled by its own key, once, and
-    again if it holds a repeat; by chunk only chunks that repeat are. Joins on a hot chunk are inner or left joins whose large
-    side adaptive execution splits; the other side has one row a chunk.
+    Only (hash, length, position) rows are grouped. Then texts of chunks that repeat are put
+    against the kept ones, and removals are joined to documents; the sides of these joins that say
+    what repeats are counted first and broadcast up to BROADCAST_NUMBERS, so that no text moves
+    but those; beyond that texts are shuffled by chunk, and once by document. Joins on a hot chunk
+    are inner or left joins whose large side adaptive execution splits; the other side has one row
+    a chunk.
     """
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     base = docs.select(F.struct(*own).alias("row"), docs[key].alias("k"), F.xxhash64(docs[text]).alias("tie"), docs[text].alias("body"))
     chunked = with_chunks(base, "body", passage_bytes, mask)
-    # Exploded rows carry a chunk's figures, never the document's arrays.
+    # Exploded rows carry a chunk's figures, and its text where needed, never the document's arrays.
     pieces = chunked.select("k", "tie", held(F.transform("chunks", chunk_text)).alias("pieces"))
-    figures = pieces.select("k", "tie", held(F.transform("pieces", lambda x: F.struct(F.xxhash64(x).alias("h"), F.octet_length(x).alias("bytes")))).alias("figures"))
-    slim = cut(figures.select("k", "tie", F.posexplode("figures").alias("j", "f")).select("k", "tie", "j", "f.*").where("bytes > 0"), "line-chunks")
-    place = F.struct("k", "tie", "j")
-    repeated = slim.groupBy("h", "bytes").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last")
-    flagged = cut(slim.join(repeated.select("h", "bytes", "first"), ["h", "bytes"]).where(place != F.col("first")).distinct(), "line-repeats")
 
-    # Byte comparison: the texts of the flagged chunks and of the ones they repeat.
-    wanted = flagged.select("k", "tie", "j", "h", "bytes", F.lit(False).alias("kept")).unionByName(flagged.select("first.*", "h", "bytes", F.lit(True).alias("kept")).distinct())
-    by_doc = wanted.groupBy("k", "tie").agg(F.collect_list(F.struct("j", "h", "bytes", "kept")).alias("wanted")).withColumnsRenamed({"k": "k2", "tie": "tie2"})
-    same_doc = F.col("k").eqNullSafe(F.col("k2")) & (F.col("tie") == F.col("tie2"))
-    marked = cut(base.join(by_doc, same_doc, "left").drop("k2", "tie2", "body"), "line-marked")
-    free_shuffles(docs.sparkSession)
-    affected = with_chunks(marked.where(F.exists("wanted", lambda w: w["h"].isNotNull())).withColumn("body", F.col("row").getField(text)), "body", passage_bytes, mask)
-    texts = affected.select("k", "tie", held(F.transform("wanted", lambda w: F.struct(w["j"].alias("j"), w["h"].alias("h"), w["bytes"].alias("bytes"), w["kept"].alias("kept"), chunk_text(F.get("chunks", w["j"])).alias("piece")))).alias("wanted"))
-    texts = texts.select("k", "tie", F.inline("wanted"))
-    first = texts.where("kept").select("h", "bytes", F.col("piece").alias("first_piece")).groupBy("h", "bytes").agg(F.min("first_piece").alias("first_piece"))
-    equal = texts.where("not kept").join(first, ["h", "bytes"]).where("piece = first_piece").select("k", "tie", "j").distinct()
-    counted = flagged.select("k", "tie", "j", "bytes").join(equal.withColumnsRenamed({"k": "k2", "tie": "tie2", "j": "j2"}), same_doc & (F.col("j") == F.col("j2")), "left_semi")
-    island = counted.withColumn("island", F.col("j") - F.row_number().over(Window.partitionBy("k", "tie").orderBy("j")))
+    def exploded(with_text: bool) -> DataFrame:
+        figures = lambda x: F.struct(F.xxhash64(x).alias("h"), F.octet_length(x).alias("bytes"), *[x.alias("piece")] * with_text)
+        return pieces.select("k", "tie", held(F.transform("pieces", figures)).alias("figures")).select("k", "tie", F.posexplode("figures").alias("j", "f")).select("k", "tie", "j", "f.*").where("bytes > 0")
+
+    place = F.struct("k", "tie", "j")
+    repeated = exploded(False).groupBy("h", "bytes").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last")
+    repeated = cut(repeated.select("h", "bytes", "first"), "line-repeated")
+    texts = cut(exploded(True).join(small(repeated, 5 * repeated.count()), ["h", "bytes"]).withColumn("kept", place.eqNullSafe(F.col("first"))).drop("first"), "line-texts")
+    first = texts.where("kept").select("h", "bytes", F.col("piece").alias("first_piece")).dropDuplicates(["h", "bytes"])
+    flagged = texts.where("not kept").join(first, ["h", "bytes"]).where("piece = first_piece").select("k", "tie", "j", "bytes").distinct()
+    island = flagged.withColumn("island", F.col("j") - F.row_number().over(Window.partitionBy("k", "tie").orderBy("j")))
     runs = island.withColumn("run_bytes", F.sum("bytes").over(Window.partitionBy("k", "tie", "island"))).where(F.col("run_bytes") >= passage_bytes)
     gone = cut(runs.groupBy("k", "tie").agg(F.collect_set("j").alias("gone")).withColumnsRenamed({"k": "k2", "tie": "tie2"}), "line-removals")
 
-    repeats = F.coalesce(F.exists("wanted", lambda w: ~w["kept"]), F.lit(False))
-    left = marked.where(repeats).select("row", "k", "tie").join(gone, same_doc, "left").select("row", "gone")
-    left = left.unionByName(marked.where(~repeats).select("row", F.lit(None).cast("array<int>").alias("gone")))
-    left = with_chunks(left.withColumn("body", F.col("row").getField(text)), "body", passage_bytes, mask)
+    same_doc = F.col("k").eqNullSafe(F.col("k2")) & (F.col("tie") == F.col("tie2"))
+    numbers = gone.agg(F.sum(F.size("gone") + 2)).first()[0] or 0
+    left = with_chunks(base.join(small(gone, numbers), same_doc, "left"), "body", passage_bytes, mask)
     left = left.withColumn("kept", held(F.transform(F.array_except(F.transform("chunks", lambda _, j: j), "gone"), lambda j: F.get("chunks", j))))
     left = left.withColumn("kept_lines", held(F.when(F.col("gone").isNotNull(), F.flatten(F.transform("kept", lambda c: F.slice("lines", c["at"] + 1, c["n"]))))))
     cleaned = F.when(F.col("gone").isNull(), F.col("body")).otherwise(F.array_join("kept_lines", "\n"))
