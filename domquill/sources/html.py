@@ -9,6 +9,8 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..session import reach_package
+
 NODE_FIELDS = (
     "node_id int, last int, parent_id int, depth int, kind tinyint, tag string, attrs map<string,string>, classes array<string>, "
     "text string, elem_idx int, elem_idx_rev int, type_idx int, type_idx_rev int, n_content_children int"
@@ -139,4 +141,5 @@ def nodes(pages: DataFrame, key: str = "page_id", html: str = "html", keep_scrip
                 columns = [pa.array([list(r[n].items()) if n == "attrs" else r.get(n) for _, r in found], t) for n, t in zip(names, kinds)]
                 yield pa.record_batch([pa.array([i for i, _ in found], batch.schema.field(0).type), *columns], ["page_id", *names])
 
+    reach_package(pages.sparkSession)
     return pages.select(key, html).mapInArrow(walk, f"page_id {pages.schema[key].dataType.simpleString()}, {NODE_FIELDS}")
