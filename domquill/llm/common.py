@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import reach_package
+
 #: Upper-case ASCII to lower case, and nothing else; the contracts lower-case A-Z only.
 ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Rows of an Arrow batch that Python stages get; long texts make a batch large, so few rows.
@@ -54,6 +56,7 @@ def drop_table(df: DataFrame) -> None:
 
 def arrow_rows(df: DataFrame, rows: int = ARROW_ROWS) -> DataFrame:
     """Keep Arrow batches small so that a Python worker's memory doesn't follow text length."""
+    reach_package(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     return df
 

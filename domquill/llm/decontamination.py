@@ -91,7 +91,7 @@ def _windows(items: DataFrame, n: int, key: str, text: str, blocks: int) -> Iter
                 rows += [(b" ".join(words[i : i + size]), k) for i in range(len(words) - size + 1) if size]
             yield pa.record_batch([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], batch.schema.field(0).type)], ["words", "item"])
 
-    made = items.select(key, text).mapInArrow(cut_up, f"words binary, item {items.schema[key].dataType.simpleString()}")
+    made = arrow_rows(items.select(key, text)).mapInArrow(cut_up, f"words binary, item {items.schema[key].dataType.simpleString()}")
     made = cut(made.groupBy("words").agg(F.collect_set("item").alias("items")), "test-windows")
     blocks = max(blocks, -(-made.count() // WINDOWS_A_BLOCK))
     for k in range(blocks):
@@ -132,7 +132,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, n: int = 10, key: str
         blocks_seen = 1 if part is out else 2
     if out is None:
         empty = NgramSet([])
-        return docs.select(key, text).mapInArrow(lambda batches: (_scanned(b, empty, item_type) for b in batches), schema)
+        return arrow_rows(docs.select(key, text)).mapInArrow(lambda batches: (_scanned(b, empty, item_type) for b in batches), schema)
     if blocks_seen == 1:
         return out
     merged = out.groupBy(key).agg(F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))

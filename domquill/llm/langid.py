@@ -57,7 +57,7 @@ def fit_text(docs: DataFrame, max_rows: int = 4000, key: str = "doc_id", text: s
         yield pa.record_batch([pa.array(list(sums), pa.string()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], ["label", "counts"])
 
     counts: dict[str, np.ndarray] = {}
-    for r in sample.coalesce(32).mapInArrow(add, "label string, counts binary").toLocalIterator():
+    for r in arrow_rows(sample.coalesce(32)).mapInArrow(add, "label string, counts binary").toLocalIterator():
         counts[r["label"]] = counts.get(r["label"], 0) + np.frombuffer(bytes(r["counts"]), np.float64)
     languages = sorted(counts)
     table = np.array([counts[x] for x in languages]).reshape(len(languages), 1 << BITS) + smoothing

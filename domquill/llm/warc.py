@@ -41,7 +41,7 @@ def write_archive(pages: DataFrame, path: str | None = None, key: str = "page_id
         for b in batches:
             yield pa.record_batch([b.column(0), b.column(1), b.column(2), _base32_sha1(b.column(3)), b.column(4)], ["record_id", "url", "sha256", "sha1", "size"])
 
-    heads = heads.mapInArrow(digests, "record_id long, url string, sha256 string, sha1 string, size long")
+    heads = arrow_rows(heads, 4096).mapInArrow(digests, "record_id long, url string, sha256 string, sha1 string, size long")
     # Both digests and the size: payloads that differ would have to collide in all three.
     first = heads.groupBy("sha256", "sha1", "size").agg(F.max("record_id").alias("response_id"))
     both = heads.join(first, ["sha256", "sha1", "size"])
@@ -65,8 +65,8 @@ def write_archive(pages: DataFrame, path: str | None = None, key: str = "page_id
     # has all rows of a record, so rows that repeat go without another shuffle.
     number = lambda c: F.coalesce(c.cast("long"), F.lit(-(2**63)))
     keep = spark.read.parquet(f"{path}/headers").where(~F.decode("header", "UTF-8").contains("WARC-Refers-To: ")).select(number(F.col("record_id")).alias("id"), F.col("sha256").alias("digest")).distinct()
-    store = pages.select(number(pages[key]).alias("id"), body.alias("payload")).join(keep, "id")
-    store = store.where(F.sha2("payload", 256) == F.col("digest")).dropDuplicates(["id", "digest"]).select(F.col("digest").alias("sha256"), "payload")
+    store = pages.select(number(pages[key]).alias("id"), F.sha2(body, 256).alias("digest"), body.alias("payload")).join(keep, ["id", "digest"])
+    store = store.dropDuplicates(["id", "digest"]).select(F.col("digest").alias("sha256"), "payload")
     store.write.parquet(f"{path}/payloads")
     return path
 
