@@ -109,8 +109,9 @@ def _stars(like: np.ndarray, low: float) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def _candidates(rows: DataFrame, low: float, confirm: tuple[int, float] | None = None) -> DataFrame:
+def _candidates(rows: DataFrame, low: float, confirm: tuple[int, float] | None = None, mark: bool = False) -> DataFrame:
     """Pairs (a, b) of nodes from rows (cell, node, n_shingles, part, low bytes[, body]) in order.
+    With ``mark`` instead (cell, node) of the rows that are alike enough to one of another part.
 
     Without ``confirm``: few pairs, that hold together what is alike and are yet to be confirmed.
     With it (shingle length, similarity): of all pairs that are alike enough and whose parts
@@ -131,6 +132,10 @@ def _candidates(rows: DataFrame, low: float, confirm: tuple[int, float] | None =
             like = _likeness(b, b)
             like[np.minimum(size[:, None], size[None, :]) < (low + SLACK) * 0.999 * np.maximum(size[:, None], size[None, :])] = 0
             like[x[:, None] == x[None, :]] = 0
+            if mark:
+                like[part[:, None] == part[None, :]] = 0
+                hit = x[(like >= low).any(1)]
+                return pa.record_batch([pa.array(np.full(len(hit), cell), pa.int64()), pa.array(hit, pa.int64())], ["a", "b"])
             if confirm:
                 like[part[:, None] == part[None, :]] = 0
                 i, j = np.nonzero(np.triu(like >= low, 1))
@@ -310,8 +315,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, key: s
     free_shuffles(spark)
     parts_ = components(links)
     again = cut(rows.join(parts_, "node", "left").withColumn("part", F.coalesce("part", "node")), "near-apart")
-    apart = again.groupBy("cell").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("cell")
-    again = again.join(apart, "cell", "left_semi").join(texts, "node")
+    # Texts go along only with rows that are alike to one of another part.
+    apart = cut(_candidates(ordered(again), low, mark=True).select(F.col("a").alias("cell"), F.col("b").alias("node")), "near-marked")
+    again = again.join(apart, ["cell", "node"], "left_semi").join(texts, "node")
     late = cut(_candidates(ordered(again, "body"), low, (n, similarity)), "near-links")
     if not late.isEmpty():
         parts_ = components(links.unionByName(late))
