@@ -274,11 +274,10 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int =
     answers: list[DataFrame] = []
     totals = {"n": n, "v": 0}
 
-    def turn(messages: DataFrame, tell: Callable[[Block, dict], pd.DataFrame], schema: str, name: str) -> DataFrame:
+    def turn(messages: DataFrame, tell: Callable[[Block, dict], pd.DataFrame], schema: str = MESSAGE) -> DataFrame:
         """Answer the messages, then let each block tell what it makes of all answers so far. The
-        blocks are written once; of the steps' tables only the answers stay."""
+        blocks and each step's answers are written; messages only pass through a shuffle."""
         answers.append(cut(messages.groupBy("bucket").applyInPandas(_reduced, MESSAGE), "lm-answers"))
-        drop_table(messages)
         free_shuffles(spark)
         if not totals["v"]:
             found = answers[0].where(F.col("kind") == DISTINCT).select("body").toLocalIterator()
@@ -290,9 +289,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int =
 
         told = reduce(DataFrame.unionByName, answers).where(F.col("kind") != DISTINCT)
         both = blocks.select("block", "body").groupBy("block").cogroup(told.select("kind", "block", "bucket", "body").groupBy("block"))
-        out = cut(both.applyInPandas(merge, schema), name)
-        free_shuffles(spark)
-        return out
+        return both.applyInPandas(merge, schema)
 
     def bigrams(block: Block, known: dict) -> pd.DataFrame:
         block.level1()
@@ -311,8 +308,10 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int =
         return _frame(block.split(CONTEXTS2, contexts, sums, buckets))
 
     for tell in (bigrams, trigrams, contexts2):
-        messages = turn(messages, tell, MESSAGE, "lm-messages")
-    out = turn(messages, _scores, RESULT, "lm-scores")
+        messages = turn(messages, tell)
+        if tell is bigrams:
+            drop_table(made[1])  # answered by now
+    out = cut(turn(messages, _scores, RESULT), "lm-scores")
     for table in (blocks, *answers):
         drop_table(table)
     return out.withColumnRenamed("id", key)
