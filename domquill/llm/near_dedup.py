@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, cut, drop_table, free_shuffles
@@ -17,9 +17,13 @@ from .hashing import PART, Q, hashed_words, joined, mix, parts, text_bytes
 #: first BASE of them. At a similarity of 0.8 a pair misses all orders once in 100,000 times.
 TREES, DEPTH, BASE = 16, 8, 3
 VALUES = TREES * DEPTH
-#: Rows of an order that are compared with each other at once. In larger regions a row is compared
-#: with this many neighbours, which are those with the longest common prefix.
+#: Rows of an order that are compared with each other at once. The first round compares a row of a
+#: larger region with this many neighbours, which are those with the longest common prefix; the last
+#: one takes such a region as blocks of half as many rows, each two of them together.
 REGION = 1024
+#: Nodes with at least so many confirmed links are hubs, and so many of a large region, those with
+#: most links, are held against all of its rows before its blocks are.
+HUB_LINKS, HUBS = 4, 16
 #: Estimated similarity, below the wanted one, from which a pair is confirmed: over four standard
 #: deviations of an estimate from VALUES values.
 SLACK = 0.15
@@ -82,10 +86,10 @@ def _cells(sets: DataFrame) -> DataFrame:
 
 def _likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Shares of equal low bytes of signatures, row by row: one in 256 is equal by chance."""
-    out = np.empty((len(a), len(b)), np.float32)
-    for k in range(0, len(a), 32):
-        out[k : k + 32] = (a[k : k + 32, None, :] == b[None, :, :]).mean(2, dtype=np.float32)
-    return out
+    same = np.zeros((len(a), len(b)), np.uint8)
+    for x, y in zip(np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)):
+        same += x[:, None] == y[None, :]
+    return same / np.float32(VALUES)
 
 
 def _stars(like: np.ndarray, low: float) -> list[tuple[int, int]]:
@@ -109,44 +113,29 @@ def _stars(like: np.ndarray, low: float) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def _candidates(rows: DataFrame, low: float, confirm: tuple[int, float] | None = None, mark: bool = False) -> DataFrame:
-    """Pairs (a, b) of nodes from rows (cell, node, n_shingles, part, low bytes[, body]) in order.
-    With ``mark`` instead (cell, node) of the rows that are alike enough to one of another part.
+def _unlike_sizes(a: np.ndarray, b: np.ndarray, low: float) -> np.ndarray:
+    """Where set sizes alone rule the wanted similarity out."""
+    return np.minimum(a[:, None], b[None, :]) < (low + SLACK) * 0.999 * np.maximum(a[:, None], b[None, :])
 
-    Without ``confirm``: few pairs, that hold together what is alike and are yet to be confirmed.
-    With it (shingle length, similarity): of all pairs that are alike enough and whose parts
-    differ, those that full sets confirm, until they join the block's parts; such pairs are told
-    apart where they meet, and only links come out.
-    """
+
+def _candidates(rows: DataFrame, low: float) -> DataFrame:
+    """Pairs (a, b) of nodes from rows (cell, node, n_shingles, low bytes) in order: few, that hold
+    together what is alike among neighbours, and are yet to be confirmed."""
 
     def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, nodes, sizes, known, bytes_, bodies = None, [], [], [], [], []
-        columns = (nodes, sizes, known, bytes_, bodies)
-        sets = _Sets(*confirm) if confirm else None
+        cell, nodes, sizes, bytes_ = None, [], [], []
+        columns = (nodes, sizes, bytes_)
 
         def compare(fresh: int) -> pa.RecordBatch:
             # The first rows are a large region's first ones, kept as hubs, and half a block of
             # neighbours; pairs among those were compared before.
             b = np.frombuffer(b"".join(bytes_), np.uint8).reshape(-1, VALUES)
-            x, size, part = np.array(nodes), np.array(sizes, float), np.array(known)
+            x, size = np.array(nodes), np.array(sizes, float)
             like = _likeness(b, b)
-            like[np.minimum(size[:, None], size[None, :]) < (low + SLACK) * 0.999 * np.maximum(size[:, None], size[None, :])] = 0
+            like[_unlike_sizes(size, size, low)] = 0
             like[x[:, None] == x[None, :]] = 0
-            if mark:
-                like[part[:, None] == part[None, :]] = 0
-                hit = x[(like >= low).any(1)]
-                return pa.record_batch([pa.array(np.full(len(hit), cell), pa.int64()), pa.array(hit, pa.int64())], ["a", "b"])
-            if confirm:
-                like[part[:, None] == part[None, :]] = 0
-                i, j = np.nonzero(np.triu(like >= low, 1))
-                new = j >= fresh
-                i, j = i[new], j[new]
-                order = np.argsort(-like[i, j], kind="stable")
-                found = sets.links(x, bodies, part, i[order], j[order])
-                i, j = np.array([p[0] for p in found], int), np.array([p[1] for p in found], int)
-            else:
-                found = [p for p in _stars(like, low) if p[1] >= fresh]
-                i, j = np.array([p[0] for p in found], int), np.array([p[1] for p in found], int)
+            found = [p for p in _stars(like, low) if p[1] >= fresh]
+            i, j = np.array([p[0] for p in found], int), np.array([p[1] for p in found], int)
             return pa.record_batch([pa.array(np.minimum(x[i], x[j]), pa.int64()), pa.array(np.maximum(x[i], x[j]), pa.int64())], ["a", "b"])
 
         def clear(keep: int = 0) -> None:
@@ -155,7 +144,7 @@ def _candidates(rows: DataFrame, low: float, confirm: tuple[int, float] | None =
 
         fresh = 0
         for batch in batches:
-            cells, *values = (batch.column(k).to_pylist() for k in range(5 + bool(confirm)))
+            cells, *values = (batch.column(k).to_pylist() for k in range(4))
             for c, *row in zip(cells, *values):
                 if c != cell:
                     if len(nodes) > max(1, fresh):
@@ -171,6 +160,108 @@ def _candidates(rows: DataFrame, low: float, confirm: tuple[int, float] | None =
         if len(nodes) > max(1, fresh):
             yield compare(fresh)
 
+    return arrow_rows(rows, 4096).mapInArrow(pairs_of, "a long, b long").distinct()
+
+
+def _apart(rows: DataFrame) -> DataFrame:
+    """(cell, part, large, owner, deal, total) of each part in the regions that hold several: the
+    blocks its rows are dealt to. A region up to REGION rows is one block. In a larger one, parts
+    that fill a block have blocks of their own, as ``owner``, and all others are dealt together."""
+    half, n, total = max(REGION // 2, 1), F.col("n"), F.col("total")
+    of_part = rows.groupBy("cell", "part").agg(F.count("*").alias("n"))
+    of_cell = of_part.groupBy("cell").agg(F.sum("n").alias("total"), F.count("*").alias("parts"), F.sum(F.when(n < half, n).otherwise(0)).alias("others")).where("parts > 1").drop("parts")
+    large = total > REGION
+    deal = F.when(~large, 1).when(n >= half, F.ceil(n / half)).otherwise(F.ceil(F.col("others") / half))
+    return of_part.join(of_cell, "cell").select("cell", "part", large.alias("large"), F.when(large & (n >= half), F.col("part")).alias("owner"), deal.cast("long").alias("deal"), "total")
+
+
+def _dealt(rows: DataFrame, apart: DataFrame) -> DataFrame:
+    """Rows (cell, node, n_shingles, part, low, side) of the regions in ``apart`` (see ``_apart``),
+    such that any two rows of one region and two parts meet in a cell: a small region is a cell, of a
+    large one each two blocks, but those of one part. ``side`` is 0 where all rows of a cell are
+    compared, else 1 or 2, to be compared with each other."""
+    block = F.xxhash64("owner", F.col("owner").isNull(), "slot")
+    placed = rows.select("cell", "node", "n_shingles", "part", "low").join(apart, ["cell", "part"]).withColumn("slot", F.pmod(F.xxhash64("node"), F.col("deal")))
+    small = placed.where("not large").select("cell", "node", "n_shingles", "part", "low", F.lit(0).alias("side"))
+    blocks = apart.where("large").select("cell", "owner", "deal").distinct().select("cell", "owner", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deal") - 1)).alias("slot")).select("cell", "owner", block.alias("block"))
+    both = blocks.join(blocks.select("cell", F.col("owner").alias("owner_2"), F.col("block").alias("block_2")), "cell").where("block <= block_2 and not coalesce(owner = owner_2, false)")
+    side = lambda of, k: F.struct(F.col(of).alias("block"), F.lit(k).alias("side"))
+    sides = F.when(F.col("block") == F.col("block_2"), F.array(side("block", 0))).otherwise(F.array(side("block", 1), side("block_2", 2)))
+    sides = both.select("cell", F.xxhash64("cell", "block", "block_2").alias("met"), F.explode(sides).alias("s")).select("cell", "met", "s.*")
+    large = placed.where("large").withColumn("block", block).join(sides, ["cell", "block"])
+    return small.unionByName(large.select(F.col("met").alias("cell"), "node", "n_shingles", "part", "low", "side"))
+
+
+def _to_hubs(rows: DataFrame, apart: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows as of ``_dealt``: in each large region in ``apart`` the hubs (side 1) against all rows
+    (side 2), block by block. Work is linear in rows; what it joins, blocks needn't be compared for."""
+    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
+    hubs = ends.groupBy("node").agg(F.count("*").alias("links")).where(F.col("links") >= HUB_LINKS)
+    regions = apart.where("large").select("cell", F.ceil(F.col("total") / max(REGION // 2, 1)).alias("deal")).distinct()
+    placed = rows.select("cell", "node", "n_shingles", "part", "low").join(regions, "cell")
+    order = Window.partitionBy("cell").orderBy(F.desc("links"), "node")
+    first = placed.join(hubs, "node").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= HUBS)
+    slots = F.sequence(F.lit(0).cast("long"), F.col("deal") - 1)
+    first = first.withColumn("slot", F.explode(slots)).withColumn("side", F.lit(1))
+    placed = placed.withColumn("slot", F.pmod(F.xxhash64("node"), F.col("deal"))).withColumn("side", F.lit(2))
+    columns = (F.xxhash64("cell", "slot").alias("cell"), "node", "n_shingles", "part", "low", "side")
+    return placed.select(*columns).unionByName(first.select(*columns))
+
+
+def _across(rows: DataFrame, low: float, give: str, confirm: tuple[int, float] | None = None) -> DataFrame:
+    """From rows (cell, node, n_shingles, part, low, side[, body]), cell by cell and whole: of the
+    pairs alike enough, on two sides and of two parts,
+
+    * "best": (a, b), for each row of side 2 the row of side 1 most like it, yet to be confirmed;
+    * "marks": (cell, node) of all rows in them, as (a, b);
+    * "links": those that full sets confirm (``confirm``: shingle length, similarity), until they
+      join the cell's parts.
+    """
+
+    def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, columns = None, tuple([] for _ in range(5 + bool(confirm)))
+        sets = _Sets(*confirm) if confirm else None
+
+        def compare() -> pa.RecordBatch:
+            x, size, part, side = (np.array(columns[k]) for k in (0, 1, 2, 4))
+            b = np.frombuffer(b"".join(columns[3]), np.uint8).reshape(-1, VALUES)
+            p, q = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
+            like = _likeness(b[p], b[q])
+            like[_unlike_sizes(size[p].astype(float), size[q].astype(float), low)] = 0
+            like[part[p][:, None] == part[q][None, :]] = 0
+            if give == "best":
+                i = like.argmax(0) if len(p) else np.zeros(0, int)
+                j = np.flatnonzero(like.max(0) >= low) if len(p) else i
+                i, j = p[i[j]], q[j]
+            else:
+                i, j = np.nonzero(like >= low)
+                value = like[i, j]
+                i, j = p[i], q[j]
+                if give == "marks":
+                    hit = np.unique(x[np.concatenate((i, j))])
+                    return pa.record_batch([pa.array(np.full(len(hit), cell), pa.int64()), pa.array(hit, pa.int64())], ["a", "b"])
+                once = (side[i] != side[j]) | (i < j)
+                order = np.argsort(-value[once], kind="stable")
+                found = sets.links(x, columns[5], part, i[once][order], j[once][order])
+                i, j = np.array([f[0] for f in found], int), np.array([f[1] for f in found], int)
+            return pa.record_batch([pa.array(np.minimum(x[i], x[j]), pa.int64()), pa.array(np.maximum(x[i], x[j]), pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            cells, *values = (batch.column(k).to_pylist() for k in range(6 + bool(confirm)))
+            for c, *row in zip(cells, *values):
+                if c != cell:
+                    if len(columns[0]) > 1:
+                        yield compare()
+                    cell = c
+                    for column in columns:
+                        column.clear()
+                for column, value in zip(columns, row):
+                    column.append(value)
+        if len(columns[0]) > 1:
+            yield compare()
+
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "cell").sortWithinPartitions("cell", "node")
+    rows = rows.select("cell", "node", "n_shingles", "part", "low", "side", *["body"] * bool(confirm))
     return arrow_rows(rows, 512 if confirm else 4096).mapInArrow(pairs_of, "a long, b long").distinct()
 
 
@@ -274,12 +365,14 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, key: s
 
     Documents with one set are one node, the smallest key's, so copies cost a grouped minimum.
     Nodes are sorted in TREES signature orders; those that share the first BASE values of an order
-    with another are compared there by their signatures, with all of their region up to REGION
-    rows, beyond that with the neighbours of longest common prefix and the region's first rows.
-    A first round confirms, on full sets of whole texts, few pairs that hold together what is
-    alike, and joins what is linked; the second holds every pair left whose ends are still apart
-    against full sets where it meets, so no link between compared nodes is lost, while a group of m
-    costs about m pairs and only links come out of the second round.
+    with another are a region and are compared there by their signatures. A first round confirms,
+    on full sets of whole texts, few pairs that hold together what is alike, and joins what is
+    linked; in regions of over REGION rows it sees neighbours of longest common prefix only, and
+    hubs are then held against all rows. The last round compares all rows of each region that are
+    still apart, large regions as pairs of blocks spread over tasks, and holds every pair that is
+    alike against full sets until its ends are joined. So no link within a region is lost, while a
+    group of m costs about m pairs; only rows of a large region that nothing joins cost a
+    comparison of signatures with each of the region's other rows.
 
     Texts without words are linked with nothing. Null keys are linked with nothing and have a null
     component; rows of one key count as one node with one of their sets. An empty table gives no rows.
@@ -305,20 +398,29 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, key: s
     spark = docs.sparkSession
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     low = similarity - SLACK
-
-    def ordered(x: DataFrame, *more: str) -> DataFrame:
-        x = x.repartitionByRange(ranges, "cell", "rest").sortWithinPartitions("cell", "rest", "node")
-        return x.select("cell", "node", "n_shingles", "part", "low", *more)
-
-    first = cut(_candidates(ordered(rows.withColumn("part", F.col("node"))), low), "near-pairs")
+    ordered = rows.repartitionByRange(ranges, "cell", "rest").sortWithinPartitions("cell", "rest", "node")
+    first = cut(_candidates(ordered.select("cell", "node", "n_shingles", "low"), low), "near-pairs")
     links = cut(_confirm(first, texts, n, similarity), "near-links")
     free_shuffles(spark)
-    parts_ = components(links)
-    again = cut(rows.join(parts_, "node", "left").withColumn("part", F.coalesce("part", "node")), "near-apart")
+
+    def parted() -> tuple[DataFrame, DataFrame, DataFrame]:
+        found = components(links)
+        again = cut(rows.join(found, "node", "left").withColumn("part", F.coalesce("part", "node")), "near-again")
+        return found, again, cut(_apart(again), "near-apart")
+
+    parts_, again, apart = parted()
+    if not apart.where("large").isEmpty():
+        more = cut(_confirm(_across(_to_hubs(again, apart, links), low, "best"), texts, n, similarity), "near-links")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            drop_table(again)
+            parts_, again, apart = parted()
     # Texts go along only with rows that are alike to one of another part.
-    apart = cut(_candidates(ordered(again), low, mark=True).select(F.col("a").alias("cell"), F.col("b").alias("node")), "near-marked")
-    again = again.join(apart, ["cell", "node"], "left_semi").join(texts, "node")
-    late = cut(_candidates(ordered(again, "body"), low, (n, similarity)), "near-links")
+    dealt = cut(_dealt(again, apart), "near-dealt")
+    drop_table(again)
+    marked = cut(_across(dealt, low, "marks").select(F.col("a").alias("cell"), F.col("b").alias("node")), "near-marked")
+    late = cut(_across(dealt.join(marked, ["cell", "node"], "left_semi").join(texts, "node"), low, "links", (n, similarity)), "near-links")
+    drop_table(dealt)
     if not late.isEmpty():
         parts_ = components(links.unionByName(late))
     for table in (rows, texts, met):

@@ -76,6 +76,30 @@ def test_large_group_of_near_copies(spark, monkeypatch):
     assert {(x["doc_id"], x["n_shingles"], x["component_id"]) for x in got} == components(rows, 2, 80)
 
 
+def star(seed, size, middle):
+    """Variants alike enough (0.82) to the one in the middle, but not (0.66) to each other."""
+    r = random.Random(seed)
+    base = [f"w{r.random()}" for _ in range(100)]
+    rows = [[middle, " ".join(base)]]
+    for i in range(size):
+        w = list(base)
+        for j in r.sample(range(1, 98, 2), 5):
+            w[j] = f"x{r.random()}"
+        rows.append([i if i < middle else i + 1, " ".join(w)])
+    return rows
+
+
+def test_star_in_a_large_region(spark, monkeypatch):
+    rows = star(2, 300, 150)
+    monkeypatch.setattr(near_dedup, "REGION", 32)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = components(rows, 2, 80)
+    assert {x[2] for x in want} == {0}
+    assert {(x["doc_id"], x["n_shingles"], x["component_id"]) for x in near_dedup.near_duplicates(docs, n=2).collect()} == want
+    monkeypatch.setattr(near_dedup, "HUB_LINKS", 10**6)  # blocks alone find the same
+    assert {(x["doc_id"], x["n_shingles"], x["component_id"]) for x in near_dedup.near_duplicates(docs, n=2).collect()} == want
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100)], "a long, b long")
     got = {r["node"]: r["part"] for r in near_dedup.components(links).collect()}
