@@ -382,7 +382,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, key: s
     classes = cut(full.groupBy("print").agg(F.min("node").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")), "near-classes")
     cells = _cells(classes)
     shared = cells.groupBy("cell").agg(F.count("*").alias("rows")).where("rows > 1")
-    met = cut(cells.join(shared.select("cell"), "cell"), "near-met")
+    met = cut(cells.join(shared.select("cell", (F.col("rows") > REGION).alias("large")), "cell"), "near-met")
     some = met.select("node").distinct()
     part = F.expr(f"substring(signature, {4 * BASE} + 1 + tree * {4 * DEPTH}, {4 * (DEPTH - BASE)})")
 
@@ -392,12 +392,13 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, key: s
             yield pa.record_batch([b.column(0), b.column(1), b.column(2), pa.array([r.tobytes() for r in raw], pa.binary())], ["node", "n_shingles", "signature", "low"])
 
     known = arrow_rows(classes.join(some, "node", "left_semi").select("node", "n_shingles", "signature"), 4096).mapInArrow(low_bytes, "node long, n_shingles long, signature binary, low binary")
-    rows = cut(met.join(known, "node").select("cell", "node", "n_shingles", part.alias("rest"), "low"), "near-rows")
+    rows = cut(met.join(known, "node").select("cell", "node", "n_shingles", F.when(F.col("large"), part).alias("rest"), "low"), "near-rows")
     bodies = docs.select(docs[key].cast("long").alias("k"), docs[text].alias("body")).join(some, F.col("k") == F.col("node"), "inner").select("node", "body").dropDuplicates(["node"])
     texts = cut(bodies, "near-texts")
     spark = docs.sparkSession
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     low = similarity - SLACK
+    # Only large regions have a rest, so that no boundary falls inside another one.
     ordered = rows.repartitionByRange(ranges, "cell", "rest").sortWithinPartitions("cell", "rest", "node")
     first = cut(_candidates(ordered.select("cell", "node", "n_shingles", "low"), low), "near-pairs")
     links = cut(_confirm(first, texts, n, similarity), "near-links")

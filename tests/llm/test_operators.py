@@ -100,6 +100,17 @@ def test_star_in_a_large_region(spark, monkeypatch):
     assert {(x["doc_id"], x["n_shingles"], x["component_id"]) for x in near_dedup.near_duplicates(docs, n=2).collect()} == want
 
 
+def test_regions_are_not_cut_between_partitions(spark):
+    rows = star(3, 40, 20)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "400")  # more than rows of a region
+    try:
+        got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), n=2).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {(x["doc_id"], x["n_shingles"], x["component_id"]) for x in got} == components(rows, 2, 80)
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100)], "a long, b long")
     got = {r["node"]: r["part"] for r in near_dedup.components(links).collect()}
