@@ -364,6 +364,22 @@ def test_line_dedup_shifts(spark):
     assert all(30 <= got[i]["n_removed"] <= 40 and set(rows[i][1].split("\n")[: i + 1]) <= set(got[i]["text"].split("\n")) for i in range(1, 5))
 
 
+def passages(r, between="\n"):
+    """Passages of 3 to 8 wrapped lines, each in two documents between other lines; what they are."""
+    line = lambda: "".join(r.choice("abcdefghij   ") for _ in range(84)).strip() + "."
+    shared = {n: [line() for _ in range(n)] for n in range(3, 9)}
+    rows = [(10 * n + d, "\n".join([line() for _ in range(d + 1)] + [between.join(shared[n])] + [line(), line()])) for n in shared for d in range(4)]
+    return shared, rows
+
+
+def test_line_dedup_of_wrapped_lines(spark):
+    shared, rows = passages(random.Random(11))
+    got = {x["doc_id"]: x for x in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        passage = "\n".join(shared[i // 10]) + "\n"
+        assert got[i]["text"] == (t.replace(passage, "") if i % 10 else t) and got[i]["n_removed"] == (i // 10 if i % 10 else 0)
+
+
 # 10
 
 
