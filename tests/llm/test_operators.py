@@ -380,6 +380,14 @@ def test_line_dedup_of_wrapped_lines(spark):
         assert got[i]["text"] == (t.replace(passage, "") if i % 10 else t) and got[i]["n_removed"] == (i // 10 if i % 10 else 0)
 
 
+def test_line_dedup_of_paragraphs(spark):
+    """Blank lines within a passage don't cut it, and go with it."""
+    shared, rows = passages(random.Random(12), "\n\n")
+    got = {x["doc_id"]: x for x in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        assert got[i]["text"] == (t.replace("\n\n".join(shared[i // 10]) + "\n", "") if i % 10 else t)
+
+
 # 10
 
 
