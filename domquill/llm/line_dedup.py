@@ -16,20 +16,26 @@ def with_lines(docs: DataFrame, text: str) -> DataFrame:
     return out.withColumn("full", held(F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.btrim(F.get("lines", i), F.lit(BLANKS)) != "")))
 
 
-def with_windows(docs: DataFrame, passage_bytes: int) -> DataFrame:
+def with_windows(docs: DataFrame, passage_bytes: int, passage_words: int) -> DataFrame:
     """Adds ``windows`` (at, n): of each full line the fewest lines from it on, and the fewest up to
     it, that are a passage. Blank lines don't count. Each run of lines that is a passage is covered
     by the windows within it, whatever stands around it. Arrays are indexed and sliced, never
     grown, so the work stays linear in a long text.
     """
-    # A full line has a byte at least, so a window has no more lines than a passage has bytes.
-    most = passage_bytes
-    out = docs.withColumn("figures", held(F.transform("full", lambda i: F.struct(F.octet_length(F.get("lines", i)).alias("bytes")))))
-    whole = lambda x: x["bytes"] >= passage_bytes
-    none = F.struct(F.lit(0).alias("bytes"), F.lit(0).alias("n"))
+    # A full line has a byte and a word at least, so a window has no more lines than these.
+    most = min(passage_bytes, passage_words)
+
+    def figure(i: Column) -> Column:
+        line = F.get("lines", i)  # words of a line that is a passage by its bytes needn't be counted
+        words = F.size(F.split(F.btrim(line, F.lit(BLANKS)), "[ \\t\\x0b\\x0c\\r]+", -1))
+        return F.struct(F.octet_length(line).alias("bytes"), F.when(F.octet_length(line) >= passage_bytes, 1).otherwise(words).alias("words"))
+
+    out = docs.withColumn("figures", held(F.transform("full", figure)))
+    whole = lambda x: (x["bytes"] >= passage_bytes) | (x["words"] >= passage_words)
+    none = F.struct(F.lit(0).alias("bytes"), F.lit(0).alias("words"), F.lit(0).alias("n"))
 
     def fewest(figures: Column) -> Column:
-        return F.aggregate(figures, none, lambda a, x: F.when(whole(a), a).otherwise(F.struct((a["bytes"] + x["bytes"]).alias("bytes"), (a["n"] + 1).alias("n"))))
+        return F.aggregate(figures, none, lambda a, x: F.when(whole(a), a).otherwise(F.struct((a["bytes"] + x["bytes"]).alias("bytes"), (a["words"] + x["words"]).alias("words"), (a["n"] + 1).alias("n"))))
 
     def ahead(x: Column, i: Column) -> Column:
         found = lambda a: F.when(whole(a), i.cast("long") * (most + 1) + a["n"])
@@ -51,11 +57,11 @@ def window_text(window: Column) -> Column:
     return F.array_join(F.transform(F.slice("full", window["at"] + 1, window["n"]), lambda i: F.get("lines", i)), "\n")
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", passage_bytes: int = 180, drop_emptied: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", passage_bytes: int = 180, passage_words: int = 30, drop_emptied: bool = False) -> DataFrame:
     """``docs`` with repeated passages removed from ``text``, and the counts ``n_lines``,
     ``n_removed`` (lines).
 
-    A passage is a run of lines of ``passage_bytes`` bytes or more (180 are about thirty words);
+    A passage is a run of lines of ``passage_bytes`` bytes or ``passage_words`` words or more;
     lone short lines that many documents have (headings, license lines) stay. The smallest passages
     (see ``with_windows``) are grouped over the whole input by hash and length; the occurrence
     first in order of (key, text hash, position) stays. The lines of the others go if their bytes
@@ -74,7 +80,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", passag
     """
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     base = docs.select(F.struct(*own).alias("row"), docs[key].alias("k"), F.xxhash64(docs[text]).alias("tie"), docs[text].alias("body"))
-    pieces = with_windows(with_lines(base, "body"), passage_bytes).select("k", "tie", held(F.transform("windows", lambda w: F.struct(w["at"].alias("at"), w["n"].alias("n"), window_text(w).alias("piece")))).alias("pieces"))
+    pieces = with_windows(with_lines(base, "body"), passage_bytes, passage_words).select("k", "tie", held(F.transform("windows", lambda w: F.struct(w["at"].alias("at"), w["n"].alias("n"), window_text(w).alias("piece")))).alias("pieces"))
 
     # Exploded rows carry a window's figures, and its text where needed, never the document's arrays.
     def exploded(with_text: bool) -> DataFrame:

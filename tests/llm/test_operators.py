@@ -388,6 +388,14 @@ def test_line_dedup_of_paragraphs(spark):
         assert got[i]["text"] == (t.replace("\n\n".join(shared[i // 10]) + "\n", "") if i % 10 else t)
 
 
+def test_line_dedup_of_short_words(spark):
+    """Over 50 words, under 180 bytes."""
+    passage = "\n".join(" ".join(str((7 * i + j) % 10) for j in range(18)) for i in range(3))
+    rows = [(i, f"first {i}\n{passage}\nlast {i}") for i in range(3)]
+    got = {x["doc_id"]: x["text"] for x in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(passage) < 180 and got == {0: rows[0][1], 1: "first 1\nlast 1", 2: "first 2\nlast 2"}
+
+
 # 10
 
 
