@@ -86,6 +86,8 @@ def _cells(sets: DataFrame) -> DataFrame:
 
 def _likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Shares of equal low bytes of signatures, row by row: one in 256 is equal by chance."""
+    if len(a) * len(b) <= 4096:
+        return (a[:, None, :] == b[None, :, :]).mean(2, dtype=np.float32)
     same = np.zeros((len(a), len(b)), np.uint8)
     for x, y in zip(np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)):
         same += x[:, None] == y[None, :]
