@@ -1,11 +1,14 @@
-"""What the operators share: tables that cut lineage, keys, and bounds on what is broadcast."""
+"""What the operators share: tables that cut lineage, batches for Python, and bounds on what is
+broadcast."""
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,19 +16,21 @@ from ..session import reach_package
 
 #: Upper-case ASCII to lower case, and nothing else; the contracts lower-case A-Z only.
 ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-#: Rows of an Arrow batch that Python stages get; long texts make a batch large, so few rows.
-ARROW_ROWS = 512
+#: Rows that a Python stage takes at once; Spark bounds what it sends it by bytes.
+ROWS = 512
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as spark.checkpoint.dir names it.
 
-    Only where no folder is named (a single machine, as in tests) one is made and set.
+    Only where no folder is named and driver and executors are one process (as in tests) one is
+    made and set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
         raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     made = f"file://{tempfile.mkdtemp(prefix='domquill-')}"
     spark.sparkContext.setCheckpointDir(made)
@@ -36,29 +41,50 @@ def new_table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/domquill/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def one_step(spark: SparkSession) -> Iterator[None]:
+    """What runs inside is a step that ends in a table: Spark deletes its shuffle files at its end,
+    as nothing reads them again. The session's own setting comes back afterwards."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: its lineage ends there and a lost
     executor costs no more than the tasks it was running."""
     path = new_table_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with one_step(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_table(df: DataFrame) -> None:
-    """Delete the files behind a frame that ``cut`` returned, once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop_table(*tables: DataFrame) -> None:
+    """Delete the files behind frames that ``cut`` returned, once nothing reads them any more."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            delete_folder(df.sparkSession, folder)
 
 
-def arrow_rows(df: DataFrame, rows: int = ARROW_ROWS) -> DataFrame:
-    """Keep Arrow batches small so that a Python worker's memory doesn't follow text length."""
+def in_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, rows: int = ROWS) -> DataFrame:
+    """``df.mapInArrow(f, schema)`` whose batches have ``rows`` rows at most. Spark ends a batch at
+    spark.sql.execution.arrow.maxBytesPerBatch, so a worker's memory doesn't follow text length;
+    none of the session's settings is changed."""
     reach_package(df.sparkSession)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    return df
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return f(b.slice(k, rows) for b in batches for k in range(0, b.num_rows, rows))
+
+    return df.mapInArrow(sliced, schema)
 
 
 def utf8(text: Column) -> Column:
@@ -78,12 +104,6 @@ def held(value: Column) -> Column:
     return F.when(F.monotonically_increasing_id() >= 0, value)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let the session drop the shuffle files of finished steps now, not when memory runs out."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 #: Numbers (of 8 bytes, with some tens of bytes around each row) that one broadcast holds at most.
 BROADCAST_NUMBERS = 2_000_000
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, cut
+from .common import cut, in_arrow
 
 _SPACES = re.compile(r"\s\s")
 _loaded: dict[str, Ids] = {}
@@ -95,7 +95,7 @@ def tokenized(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, key:
 
     kind = docs.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return arrow_rows(docs.select(key, text)).mapInArrow(pieces, schema)
+    return in_arrow(docs.select(key, text), pieces, schema)
 
 
 def plan_bins(counts: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
