@@ -2,31 +2,49 @@
 
 from __future__ import annotations
 
+import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, cut, drop_table, free_shuffles, new_table_path
+from .common import cut, delete_folder, in_arrow, new_table_path, one_step
 from .hashing import Q, hashed_words, joined, mix, parts, text_bytes
 
-#: Text of one block of documents, in bytes, and keys of one bucket of counts, roughly.
-BLOCK, BUCKET = 8_000_000, 1_500_000
+#: Text of one block of documents, in bytes, and tokens for one bucket of counts, roughly.
+BLOCK, BUCKET = 8_000_000, 3_000_000
 #: Training occurrences a context needs to be tested, and one of its symbols to be counted in it.
 CONTEXT, SYMBOL = 8, 2
 #: What a counted symbol gives up for the shorter context, in occurrences.
 DISCOUNT = 0.5
-END, BEGIN = np.uint64(0x656E64), np.uint64(0x626567)
-STATE, UNIGRAMS, BIGRAMS, TRIGRAMS, CONTEXTS1, CONTEXTS2, DISTINCT = -1, 0, 1, 2, 3, 4, 5
+#: The end of a text. It also stands before the first word, as the context that a text begins in.
+END = np.uint64(0x656E64)
 RESULT = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+BLOCKS = "block string, train long, n_tokens long, docs binary, tokens binary, words binary, often binary"
+#: Bits of a key of several words; words themselves have all 64, so that their counts are exact. Two
+#: of n such keys are taken for one with a chance of n / 2 ** 48: one key in 28,000 of 10 billion.
+KEY_BITS = 48
 MESSAGE = "kind int, block string, bucket int, keys binary, body binary"
+ANSWER = "kind int, block string, bucket int, body binary"
+#: Kinds of messages: counts of level k, evidence for contexts of level k, and the vocabulary.
+DISTINCT = -1
+
+
+def counts_of(level: int) -> int:
+    return 2 * level
+
+
+def contexts_of(level: int) -> int:
+    return 2 * level + 1
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -41,6 +59,11 @@ def _unpack(b: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(flat.reshape(kind.itemsize, -1).T).view(kind).reshape(-1)
 
 
+def _bits(kind: int) -> int:
+    """Contexts of level 1 are words, like what is counted at level 0."""
+    return 64 if kind in (counts_of(0), contexts_of(1)) else KEY_BITS
+
+
 def _pack_keys(keys: np.ndarray) -> bytes:
     return _pack(np.diff(keys, prepend=np.uint64(0)))
 
@@ -49,6 +72,28 @@ def _unpack_keys(b: bytes) -> np.ndarray:
     return np.add.accumulate(_unpack(b, np.uint64), dtype=np.uint64)
 
 
+def _pack_evidence(floats: np.ndarray, numbers: np.ndarray) -> bytes:
+    a = _pack(floats.astype(np.float32).T.reshape(-1))
+    return struct.pack("<q", len(a)) + a + _pack(numbers.astype(np.int64).T.reshape(-1))
+
+
+def _unpack_evidence(b: bytes) -> tuple[np.ndarray, np.ndarray]:
+    (n,) = struct.unpack_from("<q", b)
+    return _unpack(b[8 : 8 + n], np.float32).reshape(2, -1).T, _unpack(b[8 + n :], np.int64).reshape(3, -1).T
+
+
+@dataclass
+class Level:
+    """What positions have to do with contexts of so many words."""
+
+    contexts: np.ndarray  # keys of contexts, sorted
+    place: np.ndarray  # each position's context, or -1 where it is seen too rarely
+    n: np.ndarray  # the count of each position's context
+    keys: np.ndarray  # distinct keys of context and symbol, sorted, of positions that are counted
+    at: np.ndarray  # each position's key, or -1
+    c: np.ndarray | None = None  # its count, once told
+
+
 class Block:
     """A block of documents: its tokens as numbers of its own words, and what it has been told.
 
@@ -65,91 +110,85 @@ class Block:
         self.begins[:1] = True
         self.train = ~docs["held_out"].to_numpy(bool)[self.doc]
 
-    def distinct(self, keys: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted distinct keys of the positions in ``where``, and each position's place (or -1)."""
-        place = np.full(len(self.tokens), -1, np.int64)
-        found, place[where] = np.unique(keys[where], return_inverse=True)
-        return found, place
-
-    def level1(self) -> None:
-        c0, end = self.told[UNIGRAMS] >> 1, int(np.searchsorted(self.words, END))
-        before = np.roll(self.tokens, 1)
-        self.c_token = c0[self.tokens]
-        self.n_context1 = np.where(self.begins, c0[end], c0[before])
-        self.context1 = np.where(self.begins, BEGIN, self.words[before])
-        keys = mix(self.context1 * np.uint64(Q) + self.words[self.tokens] + np.uint64(1))
-        self.keys1, self.at1 = self.distinct(keys, (self.n_context1 >= CONTEXT) & (self.c_token >= SYMBOL))
-        self.key1 = keys
-
-    def level2(self) -> None:
-        c1 = np.append(self.told[BIGRAMS] >> 1, 0)[self.at1]
-        self.c1 = c1
-        before = np.roll(c1, 1)
-        self.n_context2 = np.where(self.begins, 0, before)
-        self.context2 = np.roll(self.key1, 1)
-        keys = mix(self.context2 * np.uint64(Q) + self.words[self.tokens] + np.uint64(2))
-        self.keys2, self.at2 = self.distinct(keys, (self.n_context2 >= CONTEXT) & (c1 >= SYMBOL))
+    def levels(self, upto: int) -> None:
+        """Levels 1 to ``upto``; all but the last have been told their counts, the last may be."""
+        c0, end = self.told[counts_of(0)] >> 1, int(np.searchsorted(self.words, END))
+        self.c_token = c = c0[self.tokens]
+        place = np.where(self.begins, end, np.roll(self.tokens, 1))
+        contexts, n = self.words, c0[place]
+        self.level: list[Level] = []
+        for k in range(1, upto + 1):
+            keys = mix(np.append(contexts, np.uint64(0))[place] * np.uint64(Q) + self.words[self.tokens] + np.uint64(k)) >> np.uint64(64 - KEY_BITS)
+            here = np.flatnonzero((n >= CONTEXT) & (c >= SYMBOL))
+            at = np.full(len(keys), -1, np.int64)
+            found, at[here] = np.unique(keys[here], return_inverse=True)
+            self.level.append(Level(contexts, np.where(n >= CONTEXT, place, -1), n, found, at))
+            answers = self.told.get(counts_of(k), np.zeros(0, np.int64))
+            if len(answers) == len(found):  # all were told
+                c = self.level[-1].c = np.append(answers >> 1, 0)[at]
+                place, n, contexts = np.roll(at, 1), np.roll(c, 1), found
+                place[self.begins], n[self.begins] = -1, 0
 
     def base(self, n: int, v: int) -> np.ndarray:
         return (self.c_token + 0.1) / (n + 0.1 * (v + 1))
 
-    def kept(self, kind: int, context: np.ndarray, n_context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Share that each position's context leaves to the shorter one, and whether it is kept."""
-        found, at = self.distinct(context, n_context >= CONTEXT)
-        share = np.append(self.told[kind], -1)[at]
-        return share, share >= 0
-
-    def interpolated(self, lower: np.ndarray, c: np.ndarray, n: np.ndarray, share: np.ndarray, kept: np.ndarray) -> np.ndarray:
-        own = np.where(c >= SYMBOL, c - DISCOUNT, 0) / np.maximum(n, 1)
-        return np.where(kept, own + share * lower, lower)
-
-    def counts(self, keys: np.ndarray, at: np.ndarray) -> np.ndarray:
-        return np.bincount(at[self.train & (at >= 0)], minlength=len(keys)).astype(np.uint32)
-
-    def evidence(self, kind: int, keys: np.ndarray, at: np.ndarray, lower: np.ndarray, context: np.ndarray, n_context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Contexts, and for each the sums over those of its counted symbols that this block
-        answers for: c ln(P(symbol | context) / P(symbol | shorter)), c, 1, P(symbol | shorter);
-        and the context's count."""
-        contexts, place = self.distinct(context, n_context >= CONTEXT)
-        sums = np.zeros((len(contexts), 5))
-        sums[place[place >= 0], 4] = n_context[place >= 0]
-        first = np.full(len(keys), -1, np.int64)
-        positions = np.flatnonzero(at >= 0)
-        first[at[positions][::-1]] = positions[::-1]
-        answer = self.told[kind]
+    def contexts(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted keys of the contexts of level ``k`` that stand here, and each position's place."""
+        level = self.level[k - 1]
+        here = level.place >= 0
+        on = np.zeros(len(level.contexts) + 1, bool)
+        on[level.place[here]] = True
+        return level.contexts[on[:-1]], np.where(here, np.cumsum(on)[level.place] - 1, -1)
+
+    def probability(self, upto: int, n: int, v: int) -> np.ndarray:
+        """Of each position's token, in its longest kept context of ``upto`` words at most."""
+        p = self.base(n, v)
+        for k in range(1, upto + 1):
+            level = self.level[k - 1]
+            share = np.append(self.told.get(contexts_of(k), np.zeros(0, np.float32)), np.float32(-1)).astype(float)[self.contexts(k)[1]]
+            own = np.where(level.c >= SYMBOL, level.c - DISCOUNT, 0) / np.maximum(level.n, 1)
+            p = np.where(share >= 0, own + share * p, p)
+        return p
+
+    def counts(self, k: int, buckets: int) -> list[tuple]:
+        """Messages: how often this block's texts to learn from have each key of level ``k``."""
+        keys, at = (self.words, self.tokens) if not k else (self.level[k - 1].keys, self.level[k - 1].at)
+        n = np.bincount(at[self.train & (at >= 0)], minlength=len(keys)).astype(np.uint32)
+        return self._split(counts_of(k), keys, buckets, lambda x, y: _pack(n[x:y]))
+
+    def evidence(self, k: int, lower: np.ndarray, buckets: int) -> list[tuple]:
+        """Messages: contexts of level ``k``, and for each the sums over those of its counted symbols
+        that this block answers for: c ln(P(symbol | context) / P(symbol | shorter)), P(symbol |
+        shorter); c, 1; and the context's count."""
+        level = self.level[k - 1]
+        contexts, place = self.contexts(k)
+        floats, numbers = np.zeros((len(contexts), 2)), np.zeros((len(contexts), 3), np.int64)
+        here = place >= 0
+        numbers[place[here], 2] = level.n[here]
+        answer = self.told.get(counts_of(k), np.zeros(0, np.int64))
+        first = np.full(len(level.keys), -1, np.int64)
+        positions = np.flatnonzero(level.at >= 0)
+        first[level.at[positions][::-1]] = positions[::-1]
         mine = ((answer & 1) == 1) & ((answer >> 1) >= SYMBOL)
-        p, c = first[mine], (answer >> 1)[mine].astype(float)
-        for column, value in enumerate((c * np.log(c / n_context[p] / lower[p]), c, np.ones(len(c)), lower[p])):
-            sums[:, column] = np.bincount(place[p], value, len(contexts))
-        return contexts, sums
+        p, c = first[mine], answer[mine] >> 1
+        for into, column, value in ((floats, 0, c * np.log(c / level.n[p] / lower[p])), (floats, 1, lower[p]), (numbers, 0, c), (numbers, 1, np.ones(len(c)))):
+            into[:, column] = np.bincount(place[p], value, len(contexts))
+        return self._split(contexts_of(k), contexts, buckets, lambda x, y: _pack_evidence(floats[x:y], numbers[x:y]))
 
-    def split(self, kind: int, keys: np.ndarray, body: np.ndarray, buckets: int) -> list[tuple]:
+    def _split(self, kind: int, keys: np.ndarray, buckets: int, body: Callable[[int, int], bytes]) -> list[tuple]:
         """Messages by bucket: runs of sorted keys, so that answers put together in order of the
         bucket are in order of the keys."""
-        of = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-        cuts = np.searchsorted(of, np.arange(buckets + 1, dtype=np.uint64))
-        return [(kind, self.name, b, _pack_keys(keys[x:y]), _pack(body[x:y].reshape(-1))) for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if y > x]
-
-    def stored(self) -> tuple:
-        table = pa.Table.from_pandas(self.docs, preserve_index=False)
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, table.schema) as w:
-            w.write_table(table)
-        return STATE, self.name, 0, None, _pickled((sink.getvalue().to_pybytes(), _pack(self.tokens), _pack_keys(self.words)))
-
+        of = ((keys >> np.uint64(_bits(kind) - 32)) * np.uint64(buckets)) >> np.uint64(32)
+        cuts = np.searchsorted(of, np.arange(buckets + 1, dtype=np.uint64)).tolist()
+        return [(kind, self.name, b, _pack_keys(keys[x:y]), body(x, y)) for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if y > x]
 
-def _pickled(x) -> bytes:
-    import pickle
 
-    return zstandard.compress(pickle.dumps(x, protocol=5), 1)
-
-
-def _restored(name: str, body: bytes) -> Block:
-    import pickle
-
-    docs, tokens, words = pickle.loads(zstandard.decompress(bytes(body)))
-    table = pa.ipc.open_stream(docs).read_all().to_pandas()
-    return Block(name, table, _unpack(tokens, np.int32), _unpack_keys(words), {})
+def _restored(row: dict, told: dict[int, np.ndarray]) -> Block:
+    table = pa.ipc.open_stream(bytes(row["docs"])).read_all()
+    docs = table.select(["held_out", "n_tokens"]).to_pandas()
+    docs.insert(0, "id", pd.array(table["id"].to_pylist(), "Int64"))
+    words_by_use = np.argsort(-_unpack(row["often"], np.int32), kind="stable").astype(np.int32)
+    return Block(row["block"], docs, words_by_use[_unpack(row["tokens"], np.int32)], _unpack_keys(row["words"]), told)
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
@@ -158,36 +197,35 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 
 def _reduced(group: pd.DataFrame) -> pd.DataFrame:
     """All messages of a bucket to their answers: counts get the sum over all blocks and, in the
-    lowest bit, whether this block answers for the key; contexts whether they are kept."""
+    lowest bit, whether this block answers for the key; contexts what they leave to shorter ones."""
     out = []
     for kind, rows in group.groupby("kind"):
         rows = rows.sort_values("block")
         keys = [_unpack_keys(k) for k in rows["keys"]]
-        ends = np.cumsum([len(k) for k in keys])
+        ends = np.cumsum([len(k) for k in keys]).tolist()
         every, first, at = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-        if kind in (CONTEXTS1, CONTEXTS2):
-            body = np.concatenate([_unpack(b, float).reshape(-1, 5) for b in rows["body"]])
-            sums = np.stack([np.bincount(at, body[:, k], len(every)) for k in range(4)], 1)
-            n = np.zeros(len(every))
-            np.maximum.at(n, at, body[:, 4])
-            answer = _shares(sums, n)[at]
+        if kind % 2:
+            body = [_unpack_evidence(b) for b in rows["body"]]
+            floats, numbers = (np.concatenate([b[k] for b in body]) for k in (0, 1))
+            sums = [np.bincount(at, x, len(every)) for x in (*floats.astype(float).T, *numbers[:, :2].T)]
+            n = np.zeros(len(every), np.int64)
+            n[at] = numbers[:, 2]  # the same in every block
+            answer = _shares(*sums, n)[at].astype(np.float32)
         else:
-            body = np.concatenate([_unpack(b, np.uint32) for b in rows["body"]])
-            total = np.bincount(at, body, len(every)).astype(np.int64)
+            total = np.bincount(at, np.concatenate([_unpack(b, np.uint32) for b in rows["body"]]), len(every)).astype(np.int64)
             answer = total[at] * 2
             answer[first] += 1
-            if kind == UNIGRAMS:
-                out.append((DISTINCT, "", int(rows["bucket"].iloc[0]), None, _pack(np.array([int((total > 0).sum())]))))
+            if kind == counts_of(0):
+                out.append((DISTINCT, "", int(rows["bucket"].iloc[0]), _pack(np.array([int((total > 0).sum())]))))
         for name, bucket, x, y in zip(rows["block"], rows["bucket"], [0, *ends[:-1]], ends):
-            out.append((int(kind), name, int(bucket), None, _pack(answer[x:y])))
-    return _frame(out)
+            out.append((int(kind), name, int(bucket), _pack(answer[x:y])))
+    return pd.DataFrame(out, columns=["kind", "block", "bucket", "body"])
 
 
-def _shares(sums: np.ndarray, n: np.ndarray) -> np.ndarray:
+def _shares(gain: np.ndarray, lower: np.ndarray, mass: np.ndarray, symbols: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The divergence test. Of contexts that are kept the share left to the shorter context, of
     others -1. Kept are those whose next symbols fit their own distribution better than the
     shorter context's by more than its parameters cost: n KL > (symbols + 1) / 2 ln n, in nats."""
-    gain, mass, symbols, lower = sums.T
     rest = np.maximum(n - mass, 0)
     with np.errstate(divide="ignore", invalid="ignore"):
         gain = gain + np.where(rest > 0, rest * np.log(np.where(rest > 0, rest, 1) / n / np.maximum(1 - lower, 1e-12)), 0)
@@ -195,54 +233,60 @@ def _shares(sums: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where((symbols > 0) & (gain > (symbols + 1) / 2 * np.log(n)), np.clip(share, 1e-9, 1), -1.0)
 
 
-def _blocks(docs: DataFrame, key: str, text: str, folds: int, buckets: int) -> DataFrame:
+def _blocks(docs: DataFrame, key: str, text: str, folds: int) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, bodies, size = [], [], 0
+        ids, bodies, size, made = [], [], 0, 0
 
-        def made() -> pa.RecordBatch:
+        def block() -> pa.RecordBatch:
             hashes, lengths = [], []
             for _, part in parts(bodies):
                 whose, words = hashed_words(*joined(part))
                 n = np.bincount(whose, minlength=len(part))
                 hashes.append(np.insert(words, np.cumsum(n), END))
                 lengths.append(n + 1)
-            words, tokens = np.unique(np.concatenate(hashes), return_inverse=True)
-            held = [i is not None and zlib.crc32(str(i).encode()) % folds == 0 for i in ids]
-            frame = pd.DataFrame({"id": pd.array(ids, "Int64"), "held_out": held, "n_tokens": np.concatenate(lengths)})
-            block = Block(uuid.uuid4().hex, frame, tokens.astype(np.int32), words, {})
-            rows = [block.stored(), *block.split(UNIGRAMS, words, block.counts(words, block.tokens), buckets)]
-            return pa.RecordBatch.from_pandas(_frame(rows), schema=_schema(), preserve_index=False)
+            words, tokens, often = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+            by_use = np.empty(len(words), np.int32)  # tokens as small numbers take less room
+            by_use[np.argsort(-often, kind="stable")] = np.arange(len(words))
+            held = np.array([i is not None and zlib.crc32(str(i).encode()) % folds == 0 for i in ids])
+            lengths = np.concatenate(lengths)
+            table = pa.table({"id": pa.array(ids, pa.int64()), "held_out": held, "n_tokens": lengths})
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema) as w:
+                w.write_table(table)
+            name = f"{TaskContext.get().partitionId():08d}-{made:08d}"
+            row = (name, int(lengths[~held].sum()), len(tokens), sink.getvalue().to_pybytes(), _pack(by_use[tokens]), _pack_keys(words), _pack(often.astype(np.int32)))
+            return pa.record_batch([pa.array([x], t) for x, t in zip(row, [pa.string(), pa.int64(), pa.int64(), *[pa.binary()] * 4])], [f.split()[0] for f in BLOCKS.split(", ")])
 
         for batch in batches:
             for i, body in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1), lower=True)):
                 ids.append(i), bodies.append(body)
                 size += len(body)
                 if size >= BLOCK:
-                    yield made()
-                    ids, bodies, size = [], [], 0
+                    yield block()
+                    ids, bodies, size, made = [], [], 0, made + 1
         if ids:
-            yield made()
+            yield block()
 
-    return arrow_rows(docs.select(docs[key].cast("long"), docs[text])).mapInArrow(read, MESSAGE)
+    return in_arrow(docs.select(docs[key].cast("long"), docs[text]), read, BLOCKS)
 
 
-def _schema() -> pa.Schema:
-    return pa.schema([("kind", pa.int32()), ("block", pa.string()), ("bucket", pa.int32()), ("keys", pa.binary()), ("body", pa.binary())])
+class ByBlock:
+    """A written table bucketed by block: steps read a block and all that it has been told where
+    they lie, so neither is shuffled again."""
 
+    def __init__(self, made: DataFrame, buckets: int):
+        self.spark: SparkSession = made.sparkSession
+        self.name, self.path = f"domquill_lm_{uuid.uuid4().hex}", new_table_path(self.spark, "lm")
+        with one_step(self.spark):
+            made.write.format("parquet").bucketBy(buckets, "block").option("path", self.path).saveAsTable(self.name)
+        self.table = self.spark.table(self.name)
 
-def _told(state: pd.DataFrame, answers: pd.DataFrame) -> Block:
-    block = _restored(state["block"].iloc[0], state["body"].iloc[0])
-    for kind, rows in answers.groupby("kind"):
-        t = float if kind in (CONTEXTS1, CONTEXTS2) else np.int64
-        block.told[int(kind)] = np.concatenate([_unpack(b, t) for b in rows.sort_values("bucket")["body"]])
-    for kind in (UNIGRAMS, BIGRAMS, TRIGRAMS):
-        block.told.setdefault(kind, np.zeros(0, np.int64))
-    for kind in (CONTEXTS1, CONTEXTS2):
-        block.told.setdefault(kind, np.zeros(0))
-    return block
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE {self.name}")
+        delete_folder(self.spark, self.path)
 
 
-def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 10) -> DataFrame:
+def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 10, depth: int = 2) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document.
 
     Words are what white space of ASCII leaves, A-Z in lower case; each text ends in one more
@@ -250,109 +294,85 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int =
     are learnt from, and so are those with a null key. ``base_score`` is the smoothed unigram score,
     ``score`` that of the tree, both log10 of the text's probability.
 
-    The tree's contexts are up to two words (or the beginning). A context seen CONTEXT times is
-    kept if its next words diverge enough from those of the context without its first word
-    (``_shares``); a word is scored in the longest context kept, whose counts, less DISCOUNT, are
-    filled up from the next shorter one kept, down to the smoothed unigrams. All thresholds are
-    numbers of occurrences and hold at every size.
+    The tree's contexts are up to ``depth`` words, the beginning of a text being one. A context seen
+    CONTEXT times is kept if its next words diverge enough from those of the context without its
+    first word (``_shares``); a word is scored in the longest context kept, whose counts, less
+    DISCOUNT, are filled up from the next shorter one kept, down to the smoothed unigrams. All
+    thresholds are numbers of occurrences and hold at every size.
 
     Nothing of the model is on the driver but two totals. Documents become blocks; a block sends
     its distinct keys, packed, to buckets by hash of the whole n-gram, so frequent words are
-    spread, and gets global answers back in the same order. Level by level only n-grams are sent
-    whose shorter forms are frequent enough. Every step ends in a written table.
+    spread, and gets global answers back in the same order. Buckets are as many as shuffle
+    partitions, or as the counted tokens need. Level by level only n-grams are sent whose shorter
+    forms are frequent enough. Every step ends in a written table; blocks never move.
 
     Null texts are empty: one token. Repeated rows count as often as they stand there. An empty
     table gives no rows. Extra columns are left out.
     """
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    made = _apart(_blocks(docs, key, text, folds, buckets))
-    if made is None:
+    places = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = ByBlock(_blocks(docs, key, text, folds), places)
+    n, tokens = blocks.table.agg(F.sum("train"), F.sum("n_tokens")).first()
+    if n is None:
+        blocks.drop()
         return spark.createDataFrame([], RESULT).withColumnRenamed("id", key)
-    blocks, messages = made
-    n = int(blocks.mapInArrow(_train_tokens, "n long").agg(F.sum("n")).first()[0])
-    answers: list[DataFrame] = []
-    totals = {"n": n, "v": 0}
-
-    def turn(messages: DataFrame, tell: Callable[[Block, dict], pd.DataFrame], schema: str = MESSAGE) -> DataFrame:
-        """Answer the messages, then let each block tell what it makes of all answers so far. The
-        blocks and each step's answers are written; messages only pass through a shuffle."""
-        answers.append(cut(messages.groupBy("bucket").applyInPandas(_reduced, MESSAGE), "lm-answers"))
-        free_shuffles(spark)
-        if not totals["v"]:
-            found = answers[0].where(F.col("kind") == DISTINCT).select("body").toLocalIterator()
-            totals["v"] = sum(int(_unpack(r["body"], np.int64)[0]) for r in found)
-        known, empty = dict(totals), [f.split()[0] for f in schema.split(", ")]
-
-        def merge(block: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-            return tell(_told(block, told), known) if len(block) else pd.DataFrame([], columns=empty)
-
-        told = reduce(DataFrame.unionByName, answers).where(F.col("kind") != DISTINCT)
-        both = blocks.select("block", "body").groupBy("block").cogroup(told.select("kind", "block", "bucket", "body").groupBy("block"))
-        return both.applyInPandas(merge, schema)
-
-    def bigrams(block: Block, known: dict) -> pd.DataFrame:
-        block.level1()
-        return _frame(block.split(BIGRAMS, block.keys1, block.counts(block.keys1, block.at1), buckets))
-
-    def trigrams(block: Block, known: dict) -> pd.DataFrame:
-        block.level1()
-        block.level2()
-        contexts, sums = block.evidence(BIGRAMS, block.keys1, block.at1, block.base(known["n"], known["v"]), block.context1, block.n_context1)
-        return _frame([*block.split(CONTEXTS1, contexts, sums, buckets), *block.split(TRIGRAMS, block.keys2, block.counts(block.keys2, block.at2), buckets)])
-
-    def contexts2(block: Block, known: dict) -> pd.DataFrame:
-        lower = _level1(block, known["n"], known["v"])
-        block.level2()
-        contexts, sums = block.evidence(TRIGRAMS, block.keys2, block.at2, lower, block.context2, block.n_context2)
-        return _frame(block.split(CONTEXTS2, contexts, sums, buckets))
-
-    for tell in (bigrams, trigrams, contexts2):
-        messages = turn(messages, tell)
-        if tell is bigrams:
-            drop_table(made[1])  # answered by now
-    out = cut(turn(messages, _scores, RESULT), "lm-scores")
+    buckets = max(places, -(-tokens // BUCKET))
+    answers: list[ByBlock] = []
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("kind", pa.int32()), ("block", pa.string()), ("bucket", pa.int32()), ("keys", pa.binary()), ("body", pa.binary())])
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield pa.RecordBatch.from_pandas(_frame(_restored(row, {}).counts(0, buckets)), schema=schema, preserve_index=False)
+
+    def answered(messages: DataFrame) -> None:
+        found = messages.groupBy("bucket").applyInPandas(_reduced, ANSWER)
+        answers.append(ByBlock(found.repartition(places, "block"), places))
+
+    def told(tell: Callable[[Block], pd.DataFrame], schema: str = MESSAGE) -> DataFrame:
+        """What each block makes of all answers so far."""
+        empty = [f.split()[0] for f in schema.split(", ")]
+
+        def merge(block: pd.DataFrame, said: pd.DataFrame) -> pd.DataFrame:
+            if not len(block):
+                return pd.DataFrame([], columns=empty)
+            known = {int(kind): np.concatenate([_unpack(b, np.float32 if kind % 2 else np.int64) for b in rows.sort_values("bucket")["body"]]) for kind, rows in said.groupby("kind")}
+            return tell(_restored(block.iloc[0], known))
+
+        said = reduce(DataFrame.unionByName, [a.table for a in answers]).where(F.col("kind") != DISTINCT)
+        return blocks.table.select("block", "docs", "tokens", "words", "often").groupBy("block").cogroup(said.groupBy("block")).applyInPandas(merge, schema)
+
+    answered(in_arrow(blocks.table.select("block", "docs", "tokens", "words", "often"), words, MESSAGE, 1))
+    v = sum(int(_unpack(r["body"], np.int64)[0]) for r in answers[0].table.where(F.col("kind") == DISTINCT).select("body").toLocalIterator())
+
+    def level(k: int) -> Callable[[Block], pd.DataFrame]:
+        def tell(block: Block) -> pd.DataFrame:
+            block.levels(min(k, depth))
+            rows = block.counts(k, buckets) if k <= depth else []
+            if k > 1:
+                rows += block.evidence(k - 1, block.probability(k - 2, n, v), buckets)
+            return _frame(rows)
+
+        return tell
+
+    for k in range(1, depth + 2):
+        answered(told(level(k)))
+
+    def scores(block: Block) -> pd.DataFrame:
+        return _scores(block, depth, n, v)
+
+    out = cut(told(scores, RESULT), "lm-scores")
     for table in (blocks, *answers):
-        drop_table(table)
+        table.drop()
     return out.withColumnRenamed("id", key)
 
 
-def _apart(df: DataFrame) -> tuple[DataFrame, DataFrame] | None:
-    """Blocks and their first messages, made in one scan and written to a folder each; none
-    without documents."""
-    spark = df.sparkSession
-    path = new_table_path(spark, "lm-blocks")
-    df.withColumn("message", (F.col("kind") != STATE).cast("int")).write.partitionBy("message").parquet(path)
-    if spark.read.schema(MESSAGE).parquet(path).isEmpty():
-        return None
-    return tuple(spark.read.schema(MESSAGE).parquet(f"{path}/message={k}") for k in (0, 1))
-
-
-def _level1(block: Block, n: int, v: int) -> np.ndarray:
-    block.level1()
-    c1 = np.append(block.told[BIGRAMS] >> 1, 0)[block.at1]
-    share, kept = block.kept(CONTEXTS1, block.context1, block.n_context1)
-    return block.interpolated(block.base(n, v), c1, block.n_context1, share, kept)
-
-
-def _train_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        blocks = [_restored("", b) for b in batch.column("body").to_pylist()]
-        yield pa.record_batch([pa.array([int(b.train.sum()) for b in blocks], pa.int64())], ["n"])
-
-
-def _scores(block: Block, totals: dict) -> pd.DataFrame:
-    names = ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    n, v = totals["n"], totals["v"]
-    lower = _level1(block, n, v)
-    block.level2()
-    share, kept = block.kept(CONTEXTS2, block.context2, block.n_context2)
-    c2 = np.append(block.told[TRIGRAMS] >> 1, 0)[block.at2]
-    p = block.interpolated(lower, c2, block.n_context2, share, kept)
-    docs, total = block.docs, len(block.docs)
-    out = docs[["id", "held_out", "n_tokens"]].copy()
+def _scores(block: Block, depth: int, n: int, v: int) -> pd.DataFrame:
+    block.levels(depth)
+    total = len(block.docs)
+    out = block.docs[["id", "held_out", "n_tokens"]].copy()
     out["n_known"] = np.bincount(block.doc[block.c_token > 0], minlength=total)
     out["train_tokens"] = n
     out["base_score"] = np.bincount(block.doc, np.log10(block.base(n, v)), total)
-    out["score"] = np.bincount(block.doc, np.log10(p), total)
-    return out[names]
+    out["score"] = np.bincount(block.doc, np.log10(block.probability(depth, n, v)), total)
+    return out
