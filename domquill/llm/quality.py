@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows
+from .common import in_arrow, one_step
 from .hashing import P, Q, hashed_words, joined, parts, text_bytes
 
 _AGAIN = np.uint64(0x2545F4914F6CDD1D)
@@ -91,51 +91,80 @@ def _train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits:
     return Model(bits, (vectors @ (weights[:, 1] - weights[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
+def _weighed(texts: list[bytes], bits: int) -> Iterator[tuple[bytes, bytes]]:
+    """Each text's distinct buckets and their shares of its features, as bytes."""
+    for t in texts:
+        found = [b for _, b in hashed_features([t], bits)]
+        ids, counts = np.unique(np.concatenate(found) if found else np.zeros(0, np.int32), return_counts=True)
+        yield ids.astype(_bucket_type(bits)).tobytes(), (counts / max(1, counts.sum())).astype("<f4").tobytes()
+
+
+def _bucket_type(bits: int) -> str:
+    return "<u2" if bits <= 16 else "<u4"
+
+
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", max_rows: int = 4000, bits: int = 15, width: int = 16, epochs: int = 3, rate: float = 0.25, seed: int = 7) -> Model:
-    """Learn from at most ``max_rows`` labelled rows, those first in order of their key's hash.
+    """Learn from at most ``max_rows`` labelled keys, those first in order of their hash.
 
-    The executors turn each of their texts, whole, into weights by bucket (2 ** ``bits`` at most,
-    so the driver's share is bounded by both parameters); the driver runs the descent. Labels that
-    are null or not 0 or 1 are left out, of a key with several labels the smallest counts. Without
-    any labelled row, or with one class only, every score is that class's (0.5 without any).
+    The tasks turn each of their texts, whole, into shares by bucket; one task runs the descent over
+    these, in order of the key's hash, and the driver gets the finished gains, 4 bytes a bucket. The
+    descent's input is bounded by the parameters, at 6 bytes for each of 2 ** ``bits`` buckets of
+    ``max_rows`` texts at most, and doesn't grow with the tables.
+
+    Labels that are null or not 0 or 1, and those of null keys, are left out; of a key with several
+    labels the smallest counts, of one with several texts that whose hash is smallest. Null texts
+    are empty. Without any labelled row every score is 0.5, with one class only that class's.
+    Only the named columns are read, whatever else the tables have.
     """
-    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.min(label).cast("int").alias("label"))
-    chosen = known.orderBy(F.xxhash64(key), key).limit(max_rows).withColumnRenamed(key, "label_key")
-    sample = docs.join(F.broadcast(chosen), docs[key] == F.col("label_key")).select("label", F.col(text).alias("body"))
+    known = labels.select(labels[key].alias("id"), labels[label].alias("class")).where(F.col("class").isin(0, 1) & F.col("id").isNotNull())
+    known = known.groupBy("id").agg(F.min("class").cast("int").alias("class")).orderBy(F.xxhash64("id"), "id").limit(max_rows)
+    bodies = docs.select(docs[key].alias("key"), docs[text].alias("body"))
+    sample = bodies.join(F.broadcast(known), F.col("key") == F.col("id")).select(F.xxhash64("key").alias("place"), F.xxhash64("body").alias("tie"), "class", "body")
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            texts = text_bytes(rows.column(1))
-            buckets, weights = [], []
-            for t in texts:
-                found = [b for _, b in hashed_features([t], bits)]
-                ids, counts = np.unique(np.concatenate(found) if found else np.zeros(0, np.int32), return_counts=True)
-                buckets.append(ids.astype("<u4").tobytes())
-                weights.append((counts / max(1, counts.sum())).astype("<f4").tobytes())
-            yield pa.record_batch([rows.column(0), pa.array(buckets, pa.binary()), pa.array(weights, pa.binary())], ["label", "buckets", "weights"])
-
-    got = arrow_rows(sample, 64).mapInArrow(weigh, "label int, buckets binary, weights binary").limit(2 * max_rows).toArrow()
-    y = np.array(got.column("label").to_pylist(), np.int64)
-    if len(set(y.tolist())) < 2:
-        return Model(bits, np.zeros(1 << bits, np.float32), 0.0 if not len(y) else 30.0 if y[0] else -30.0)
-    rows = [(np.frombuffer(b.as_py(), "<u4"), np.frombuffer(w.as_py(), "<f4")) for b, w in zip(got.column("buckets"), got.column("weights"))]
-    order = sorted(range(len(rows)), key=lambda i: (int(y[i]), rows[i][0].tobytes(), rows[i][1].tobytes()))  # the rows' arrival doesn't matter
-    return _train([rows[i] for i in order], y[order], bits, width, epochs, rate, seed)
-
-
-def score(docs: DataFrame, model: Model, text: str = "text", keep_from: float | None = None) -> DataFrame:
-    """``docs`` and ``quality_score`` (0 to 1) of each whole text; with ``keep_from`` only the rows
-    that reach it. Null and empty texts have no features but blanks and get the model's score for
-    those. Only the texts go through Python beside the other columns; nothing is shuffled."""
-    own = [c for c in docs.columns if c != "quality_score"]
+            found = list(_weighed(text_bytes(rows.column(3)), bits))
+            yield pa.record_batch([*rows.columns[:3], pa.array([x for x, _ in found], pa.binary()), pa.array([x for _, x in found], pa.binary())], ["place", "tie", "class", "buckets", "shares"])
+
+    weighed = in_arrow(sample, weigh, "place long, tie long, class int, buckets binary, shares binary", 64)
+    one = weighed.groupBy("place").agg(F.min(F.struct("tie", "class", "buckets", "shares")).alias("row")).select("place", "row.class", "row.buckets", "row.shares")
+
+    def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        y, rows = [], []
+        for batch in batches:
+            y += batch.column(1).to_pylist()
+            rows += [(np.frombuffer(b.as_buffer(), _bucket_type(bits)), np.frombuffer(w.as_buffer(), "<f4")) for b, w in zip(batch.column(2), batch.column(3))]
+        model = _learnt(rows, np.array(y, np.int64), bits, width, epochs, rate, seed)
+        yield pa.record_batch([pa.array([model.gain.tobytes()], pa.binary()), pa.array([model.bias], pa.float64())], ["gain", "bias"])
+
+    with one_step(docs.sparkSession):
+        made = in_arrow(one.coalesce(1).sortWithinPartitions("place"), descend, "gain binary, bias double").collect()
+    return Model(bits, np.frombuffer(bytes(made[0]["gain"]), np.float32), made[0]["bias"]) if made else _learnt([], np.zeros(0, np.int64), bits, width, epochs, rate, seed)
+
+
+def _learnt(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits: int, width: int, epochs: int, rate: float, seed: int) -> Model:
+    if len(set(labels.tolist())) < 2:
+        return Model(bits, np.zeros(1 << bits, np.float32), 0.0 if not len(labels) else 30.0 if labels[0] else -30.0)
+    return _train(rows, labels, bits, width, epochs, rate, seed)
+
+
+def score(docs: DataFrame, model: Model, text: str = "text", into: str = "quality_score", keep_from: float | None = None) -> DataFrame:
+    """``docs`` with the score (0 to 1) of each whole text as column ``into``, which replaces one of
+    that name; with ``keep_from`` instead ``docs``, all columns as they are, less the rows that
+    score less. Null and empty texts have no features but blanks and get the model's score for
+    those; equal texts score alike, repeated rows stay; an empty table gives no rows. Columns go
+    through Python beside the texts; nothing is shuffled."""
+    own = docs.columns if keep_from is not None else [c for c in docs.columns if c != into]
     at = own.index(text)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = held.value.scores(text_bytes(batch.column(at)))
-            out = pa.record_batch([*batch.columns, pa.array(scores, pa.float64())], [*own, "quality_score"])
-            yield out if keep_from is None else out.filter(pa.array(scores >= keep_from))
+            if keep_from is not None:
+                yield batch.filter(pa.array(scores >= keep_from))
+            else:
+                yield pa.record_batch([*batch.columns, pa.array(scores, pa.float64())], [*own, into])
 
-    schema = docs.select(own).schema.add("quality_score", "double")
-    return arrow_rows(docs.select(own)).mapInArrow(rate, schema)
+    schema = docs.select(own).schema
+    return in_arrow(docs.select(own), rate, schema if keep_from is not None else schema.add(into, "double"))
