@@ -3,20 +3,25 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, DataType, StructType
 
-from .common import arrow_rows, cut
+from .common import cut, drop_table, in_arrow
 
 #: Bytes that aren't part of a word become blanks, A-Z lower case. All of UTF-8's lead and
 #: continuation bytes are part of words.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-#: Benchmark windows that one broadcast holds (some 200 bytes each); more go round in blocks.
+#: Benchmark windows that one broadcast holds (some 200 bytes each); more are taken in blocks.
 WINDOWS_A_BLOCK = 200_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -28,18 +33,22 @@ def normal_words(text: str | None) -> list[bytes]:
 class NgramSet:
     """Windows of test items by length: hashes, sorted, and for each its words and its items."""
 
-    def __init__(self, windows: list[tuple[tuple[bytes, ...], list[int]]]):
+    def __init__(self, windows: Iterable[tuple[bytes, list]]):
         self.ids: dict[bytes, int] = {}
-        for words, _ in windows:
-            for w in words:
-                self.ids.setdefault(w, len(self.ids) + 1)
-        self.lengths: dict[int, tuple[np.ndarray, np.ndarray, list[tuple[int, ...]]]] = {}
-        for n in sorted({len(w) for w, _ in windows}):
-            own = [(w, i) for w, i in windows if len(w) == n]
-            table = np.array([[self.ids[x] for x in w] for w, _ in own], np.int64)
+        numbers: dict[int, array] = {}
+        owners: dict[int, list[tuple]] = {}
+        same: dict[tuple, tuple] = {}
+        for text, items in windows:
+            words = text.split(b" ")
+            numbers.setdefault(len(words), array("q")).extend(self.ids.setdefault(w, len(self.ids) + 1) for w in words)
+            items = tuple(items)
+            owners.setdefault(len(words), []).append(same.setdefault(items, items))
+        self.lengths: dict[int, tuple[np.ndarray, np.ndarray, list[tuple]]] = {}
+        for n in sorted(numbers):
+            table = np.frombuffer(numbers[n], np.int64).reshape(-1, n)
             hashes = self._hash(table.reshape(-1), n)[::n]
             order = np.argsort(hashes, kind="stable")
-            self.lengths[n] = hashes[order], table[order], [tuple(own[k][1]) for k in order]
+            self.lengths[n] = hashes[order], table[order], [owners[n][k] for k in order]
 
     @staticmethod
     def _hash(ids: np.ndarray, n: int) -> np.ndarray:
@@ -79,71 +88,117 @@ class _Zeros:
 _zeros = _Zeros()
 
 
-def _windows(items: DataFrame, n: int, key: str, text: str, blocks: int) -> Iterator[NgramSet]:
-    """The items' distinct windows, in blocks that hash alike; a block at a time on the driver."""
+class TestWindows:
+    """The items' distinct windows, written and counted once, in blocks that hash alike. A block
+    at a time is on the driver and in the broadcast that ``each`` hands out and takes back."""
 
-    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self, items: DataFrame, n: int, key: str, text: str, blocks: int):
+        self.spark = items.sparkSession
+
+        def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = []
+                for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    words = normal_words(t)
+                    size = min(n, len(words))
+                    rows += [(b" ".join(words[i : i + size]), k) for i in range(len(words) - size + 1) if size]
+                yield pa.record_batch([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], batch.schema.field(0).type)], ["words", "item"])
+
+        kind = items.schema[key].dataType.simpleString()
+        made = in_arrow(items.select(items[key].alias("item"), items[text].alias("text")), cut_up, f"words binary, item {kind}")
+        self.table = cut(made.groupBy("words").agg(F.collect_set("item").alias("items")), "test-windows")
+        self.blocks = max(1, blocks, -(-self.table.count() // WINDOWS_A_BLOCK))
+
+    def block(self, k: int) -> NgramSet:
+        part = self.table.where(F.pmod(F.xxhash64("words"), F.lit(self.blocks)) == k) if self.blocks > 1 else self.table
+        return NgramSet((bytes(r["words"]), r["items"]) for r in part.toLocalIterator())
+
+    def each(self) -> Iterator[tuple[int, Broadcast]]:
+        for k in range(self.blocks):
+            held = self.spark.sparkContext.broadcast(self.block(k))
+            yield k, held
+            if self.blocks > 1:  # what was found is in a table by now
+                held.destroy()
+
+    def drop(self) -> None:
+        drop_table(self.table)
+
+
+def _found_in(rows: DataFrame, held: Broadcast, kept: str, item_type, hits_only: bool = False) -> DataFrame:
+    """(kept, n_words, n_hit, items, spans) of rows (kept, text), in one scan."""
+    arrow = to_arrow_type(item_type)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = normal_words(t)
-                size = min(n, len(words))
-                rows += [(b" ".join(words[i : i + size]), k) for i in range(len(words) - size + 1) if size]
-            yield pa.record_batch([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], batch.schema.field(0).type)], ["words", "item"])
-
-    made = arrow_rows(items.select(key, text)).mapInArrow(cut_up, f"words binary, item {items.schema[key].dataType.simpleString()}")
-    made = cut(made.groupBy("words").agg(F.collect_set("item").alias("items")), "test-windows")
-    blocks = max(blocks, -(-made.count() // WINDOWS_A_BLOCK))
-    for k in range(blocks):
-        part = made.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == k) if blocks > 1 else made
-        own = [(tuple(bytes(r["words"]).split(b" ")), r["items"]) for r in part.toLocalIterator()]
-        if own:
-            yield NgramSet(own)
+            out = _scanned(batch, held.value, arrow)
+            yield out.filter(pc.greater(out.column("n_hit"), 0)) if hits_only else out
+
+    schema = StructType([rows.schema[kept]]).add("n_words", "long").add("n_hit", "long").add("items", ArrayType(item_type)).add("spans", DataType.fromDDL("array<struct<start:int,stop:int>>"))
+    return in_arrow(rows.select(kept, "text"), scan, schema)
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` as (row_id, row), written, so that a row keeps its number from scan to scan."""
+    return cut(docs.select(F.monotonically_increasing_id().alias("row_id"), F.struct(*docs.columns).alias("row")), "numbered")
+
+
+def _merged(rows: DataFrame, windows: TestWindows, item_type) -> DataFrame:
+    """(row_id, n_words, n_hit, items, spans) of rows (row_id, text), which each block of windows is
+    held against; the first block says something of every row, others of those that they hit."""
+    parts = [cut(_found_in(rows, held, "row_id", item_type, hits_only=k > 0), "found") for k, held in windows.each()]
+    every = reduce(DataFrame.unionByName, parts)
+    out = every.groupBy("row_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = [_joined(s) for s in batch.column(3).to_pylist()]
+            n_hit = pa.array([sum(x["stop"] - x["start"] for x in s) for s in spans], pa.int64())
+            yield pa.record_batch([batch.column(0), batch.column(1), n_hit, batch.column(2), pa.array(spans, SPANS)], ["row_id", "n_words", "n_hit", "items", "spans"])
+
+    return in_arrow(out, join, StructType([out.schema["row_id"], out.schema["n_words"]]).add("n_hit", "long").add(out.schema["items"]).add(out.schema["spans"]))
+
+
+def _joined(spans: list[dict]) -> list[dict]:
+    """Spans that touch or overlap as one."""
+    out: list[dict] = []
+    for s in sorted(spans, key=lambda s: (s["start"], s["stop"])):
+        if out and s["start"] <= out[-1]["stop"]:
+            out[-1] = {"start": out[-1]["start"], "stop": max(out[-1]["stop"], s["stop"])}
+        else:
+            out.append(s)
+    return out
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, n: int = 10, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", blocks: int = 1) -> DataFrame:
-    """Per document: (key, n_words, n_hit, items, spans).
+    """Per row of ``docs``: (key, n_words, n_hit, items, spans).
 
     Words are runs of ASCII letters and digits and all characters beyond ASCII, A-Z in lower case.
     A window is ``n`` consecutive words of an item, or a shorter item's words as a whole. Windows
     are held as a hash set, each hit is verified word by word. ``spans`` are the hit words, as
     (first word, one past the last), merged; ``items`` the distinct ids of items that occur.
 
-    The set's size is counted first: up to WINDOWS_A_BLOCK windows go out in one broadcast, more
-    are cut by hash into as many blocks as needed and each block is held against all documents,
-    their spans merged per document. Null texts have no words; null item ids mark words but aren't
-    listed; repeated rows give a row each with one block, one row with several (their results are
-    equal). Extra columns are left out.
+    The set's size is counted first: up to WINDOWS_A_BLOCK windows go out in one broadcast, and
+    documents need one scan without a shuffle. More are cut by hash into as many blocks as needed;
+    rows then get a number, each block is held against all of them and what is found is merged by
+    that number. Both give the same rows, one for each row of ``docs``, whatever its key.
+
+    Null texts have no words; null item ids mark words but aren't listed; null keys and keys that
+    repeat are rows like others; without items, or without words in them, nothing is hit; an empty
+    table gives no rows. Whole texts are scanned, whatever their length. Extra columns are left out.
     """
-    spark = docs.sparkSession
-    kind, item_kind = docs.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
-    schema = f"`{key}` {kind}, n_words long, n_hit long, items array<{item_kind}>, spans array<struct<start:int,stop:int>>"
-    item_type = to_arrow_type(items.schema[item_key].dataType)
-    out = None
-    for found in _windows(items, n, item_key, item_text, blocks):
-        held = spark.sparkContext.broadcast(found)
-
-        def scan(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield _scanned(batch, held.value, item_type)
-
-        part = arrow_rows(docs.select(key, text)).mapInArrow(scan, schema)
-        out = part if out is None else out.unionByName(part)
-        blocks_seen = 1 if part is out else 2
-    if out is None:
-        empty = NgramSet([])
-        return arrow_rows(docs.select(key, text)).mapInArrow(lambda batches: (_scanned(b, empty, item_type) for b in batches), schema)
-    if blocks_seen == 1:
-        return out
-    merged = out.groupBy(key).agg(F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    windows = TestWindows(items, n, item_key, item_text, blocks)
+    item_type = items.schema[item_key].dataType
+    if windows.blocks == 1:
+        _, held = next(windows.each())
+        windows.drop()
+        return _found_in(docs.select(docs[key].alias("k"), docs[text].alias("text")), held, "k", item_type).withColumnRenamed("k", key)
+    rows = _numbered(docs.select(docs[key].alias("k"), docs[text].alias("t")))
+    found = _merged(rows.select("row_id", F.col("row.t").alias("text")), windows, item_type)
+    windows.drop()
+    return found.join(rows.select("row_id", F.col("row.k").alias(key)), "row_id").select(key, "n_words", "n_hit", "items", "spans")
 
-    def join(acc, x):  # spans in order of their start: the next joins the last, or stands alone
-        last = F.element_at(acc, -1)
-        return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["stop"] >= x["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["stop"], x["stop"]).alias("stop"))))).otherwise(F.concat(acc, F.array(x)))
 
-    merged = merged.withColumn("spans", F.aggregate("spans", F.array().cast("array<struct<start:int,stop:int>>"), join))
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"])
-    return merged.select(key, "n_words", n_hit.alias("n_hit"), "items", "spans")
+SPANS = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
 
 def _scanned(batch: pa.RecordBatch, found: NgramSet, item_type: pa.DataType) -> pa.RecordBatch:
@@ -163,10 +218,9 @@ def _scanned(batch: pa.RecordBatch, found: NgramSet, item_type: pa.DataType) ->
         turn = np.diff(on)
         starts, stops = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
         hit.append(int(on.sum()))
-        items.append(sorted({i for _, _, own in hits for i in own if i is not None}))
+        items.append(sorted({i for _, _, own in hits for i in own}))
         spans.append([{"start": int(a), "stop": int(b)} for a, b in zip(starts, stops)])
-    span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
-    columns = [batch.column(0), pa.array(total, pa.int64()), pa.array(hit, pa.int64()), pa.array(items, pa.list_(item_type)), pa.array(spans, span)]
+    columns = [batch.column(0), pa.array(total, pa.int64()), pa.array(hit, pa.int64()), pa.array(items, pa.list_(item_type)), pa.array(spans, SPANS)]
     return pa.record_batch(columns, [batch.schema.field(0).name, "n_words", "n_hit", "items", "spans"])
 
 
@@ -176,36 +230,50 @@ def items_digest(items) -> str:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, remove: str = "documents", key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", blocks: int = 1) -> DataFrame:
-    """``docs`` without contamination: ``remove`` "documents" drops each hit document, "spans"
-    cuts the hit words, with what stands between them, out of the text.
+    """``docs`` without contamination: ``remove`` "documents" drops each row with a hit, "spans"
+    cuts the hit words, with what stands between them, out of the text. All columns stay as they
+    are; keys aren't read, so rows with null or repeated keys are rows like others.
 
-    Documents go row by row in one scan for each block of the hash set, without a shuffle. Spans
-    of several blocks are merged first (see ``find_contamination``) and joined by key.
+    Rows go one by one in one scan, without a shuffle. Where the windows need several blocks (see
+    ``find_contamination``), each block's scan ends in a written table; spans of several blocks are
+    merged by the row's number first. Null texts stay null; an empty table gives no rows.
     """
-    own, at = docs.columns, docs.columns.index(text)
-    if remove == "documents":
-        for found in _windows(items, n, item_key, item_text, blocks):
-            held = docs.sparkSession.sparkContext.broadcast(found)
-
-            def keep(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-                for batch in batches:
-                    yield batch.filter(pa.array([not held.value.hits(normal_words(t.as_py())) for t in batch.column(at)], pa.bool_()))
-
-            docs = arrow_rows(docs).mapInArrow(keep, docs.schema)
-        return docs
-    if remove != "spans":
+    if remove not in ("documents", "spans"):
         raise ValueError(f"remove is 'documents' or 'spans', not {remove!r}")
-    found = find_contamination(docs, items, n, key, text, item_key, item_text, blocks)
-    hit = found.where("n_hit > 0").groupBy(F.col(key).alias("hit_key")).agg(F.min("spans").alias("hit_spans"))
-    joined = docs.join(hit, docs[key].eqNullSafe(F.col("hit_key")), "left")
+    own, at = docs.columns, docs.columns.index(text)
+    windows = TestWindows(items, n, item_key, item_text, blocks)
+    if remove == "spans" and windows.blocks > 1:
+        rows = _numbered(docs)
+        found = _merged(rows.select("row_id", F.col("row").getField(text).alias("text")), windows, items.schema[item_key].dataType)
+        windows.drop()
+        hit = found.where("n_hit > 0").select("row_id", "spans")
+        joined = rows.join(hit, "row_id", "left").select(*[F.col("row").getField(c).alias(f"c{i}") for i, c in enumerate(own)], "spans")
+
+        def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield _with_texts(batch, at, own, [s if s else [] for s in batch.column(len(own)).to_pylist()])
 
-    def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t if not s else without_spans(t or "", s) for t, s in zip(batch.column(at).to_pylist(), batch.column(len(own)).to_pylist())]
-            columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(own))]
-            yield pa.record_batch(columns, own)
+        return in_arrow(joined, strip, docs.schema)
+    for _, held in windows.each():
 
-    return arrow_rows(joined.select(*own, "hit_spans")).mapInArrow(strip, docs.schema)
+        def keep(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                hits = [held.value.hits(normal_words(t.as_py())) for t in batch.column(at)]
+                if remove == "documents":
+                    yield batch.filter(pa.array([not h for h in hits], pa.bool_()))
+                else:
+                    yield _with_texts(batch, at, own, [_joined([{"start": a, "stop": a + k} for a, k, _ in h]) for h in hits])
+
+        docs = in_arrow(docs, keep, docs.schema)
+        if windows.blocks > 1:
+            docs = cut(docs, "less-hits")
+    windows.drop()
+    return docs
+
+
+def _with_texts(batch: pa.RecordBatch, at: int, names: list[str], spans: list[list[dict]]) -> pa.RecordBatch:
+    texts = [t if not s else without_spans(t or "", s) for t, s in zip(batch.column(at).to_pylist(), spans)]
+    return pa.record_batch([pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(names))], names)
 
 
 def without_spans(text: str, spans: list[dict]) -> str:
