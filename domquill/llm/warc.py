@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, new_table_path, utf8
+from .common import in_arrow, new_table_path, one_step, utf8
 
 END = "\r\n"
 #: The date that records carry unless one is given: an archive is the same whenever it is written.
@@ -24,10 +24,12 @@ def write_archive(pages: DataFrame, path: str | None = None, key: str = "page_id
     """Archive ``pages`` under ``path`` (a new table in the shared folder by default) and return it.
 
     ``{path}/payloads``: (sha256, payload), each payload once. ``{path}/headers``: (record_id,
-    sha256, header), the exact header block of every record. Of the records with one payload that
-    with the largest key is the response, the others are revisits that refer to it; several rows
-    with the same key and payload share one record id, and all of them are responses if it is the
-    largest. Rows with a null key come after all others. A null html is an empty payload, a null url an empty one.
+    sha256, response, header), the exact header block of every record, and whether it is a response.
+    Of the records with one payload that with the largest key is the response, the others are
+    revisits that refer to it; several rows with the same key and payload share one record id, and
+    all of them are responses if it is the largest. Rows with a null key come after all others. A
+    null html is an empty payload, a null url an empty one; line ends in a url become blanks.
+    Payloads may be of any length; an empty table makes an empty archive; other columns are left out.
 
     Only digests are shuffled to find the response; payload bytes move once, those of response
     rows, and are checked against their digest on the way into the store.
@@ -41,7 +43,7 @@ def write_archive(pages: DataFrame, path: str | None = None, key: str = "page_id
         for b in batches:
             yield pa.record_batch([b.column(0), b.column(1), b.column(2), _base32_sha1(b.column(3)), b.column(4)], ["record_id", "url", "sha256", "sha1", "size"])
 
-    heads = arrow_rows(heads, 4096).mapInArrow(digests, "record_id long, url string, sha256 string, sha1 string, size long")
+    heads = in_arrow(heads, digests, "record_id long, url string, sha256 string, sha1 string, size long", 4096)
     # Both digests and the size: payloads that differ would have to collide in all three.
     first = heads.groupBy("sha256", "sha1", "size").agg(F.max("record_id").alias("response_id"))
     both = heads.join(first, ["sha256", "sha1", "size"])
@@ -60,14 +62,16 @@ def write_archive(pages: DataFrame, path: str | None = None, key: str = "page_id
         line("Content-Length", F.when(is_response, F.col("size")).otherwise(F.lit(0)).cast("string")),
         F.lit(END),
     )
-    both.select("record_id", "sha256", F.encode(header, "UTF-8").alias("header")).write.parquet(f"{path}/headers")
+    with one_step(spark):
+        both.select("record_id", "sha256", is_response.alias("response"), F.encode(header, "UTF-8").alias("header")).write.parquet(f"{path}/headers")
     # Joined by record, not by digest: copies of one payload are spread, and each partition then
     # has all rows of a record, so rows that repeat go without another shuffle.
     number = lambda c: F.coalesce(c.cast("long"), F.lit(-(2**63)))
-    keep = spark.read.parquet(f"{path}/headers").where(~F.decode("header", "UTF-8").contains("WARC-Refers-To: ")).select(number(F.col("record_id")).alias("id"), F.col("sha256").alias("digest")).distinct()
+    keep = spark.read.parquet(f"{path}/headers").where("response").select(number(F.col("record_id")).alias("id"), F.col("sha256").alias("digest")).distinct()
     store = pages.select(number(pages[key]).alias("id"), F.sha2(body, 256).alias("digest"), body.alias("payload")).join(keep, ["id", "digest"])
     store = store.dropDuplicates(["id", "digest"]).select(F.col("digest").alias("sha256"), "payload")
-    store.write.parquet(f"{path}/payloads")
+    with one_step(spark):
+        store.write.parquet(f"{path}/payloads")
     return path
 
 
@@ -82,7 +86,7 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
     """(record_id, sha256, header, fields): every record's header block, and its named fields."""
     stored = spark.read.parquet(f"{path}/headers")
     lines = F.filter(F.split(F.decode("header", "UTF-8"), END), lambda x: x.contains(": "))
-    return stored.withColumn("fields", F.map_from_entries(F.transform(lines, lambda x: F.struct(F.lower(F.substring_index(x, ": ", 1)), F.substr(x, F.position(F.lit(": "), x) + 2)))))
+    return stored.drop("response").withColumn("fields", F.map_from_entries(F.transform(lines, lambda x: F.struct(F.lower(F.substring_index(x, ": ", 1)), F.substr(x, F.position(F.lit(": "), x) + 2)))))
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -103,7 +107,7 @@ def record_summary(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             yield pa.record_batch([b.column(0), _base32_sha1(b.column(1)), b.column(2)], ["sha256", "payload_digest", "payload_bytes"])
 
-    stored = arrow_rows(read_payloads(spark, path).select("sha256", F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("payload_bytes"))).mapInArrow(digests, "sha256 string, payload_digest string, payload_bytes long")
+    stored = in_arrow(read_payloads(spark, path).select("sha256", F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("payload_bytes")), digests, "sha256 string, payload_digest string, payload_bytes long", 4096)
     records = read_headers(spark, path).join(stored, "sha256")
     told = F.col("fields")["warc-payload-digest"]
     checked = F.when(told == F.concat(F.lit("sha1:"), F.col("payload_digest")), F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("a header's digest isn't its payload's: "), told)).cast("string"))
