@@ -10,17 +10,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, cut, drop_table, free_shuffles
+from .common import cut, drop_table, in_arrow
 from .hashing import PART, Q, hashed_words, joined, mix, parts, text_bytes
 
 #: Orders of the forest, and signature values in each; documents meet in an order that share the
 #: first BASE of them. At a similarity of 0.8 a pair misses all orders once in 100,000 times.
-TREES, DEPTH, BASE = 16, 8, 3
+TREES, DEPTH, BASE = 16, 9, 3
 VALUES = TREES * DEPTH
 #: Rows of an order that are compared with each other at once. The first round compares a row of a
 #: larger region with this many neighbours, which are those with the longest common prefix; the last
 #: one takes such a region as blocks of half as many rows, each two of them together.
 REGION = 1024
+#: Rows of small parts beyond which the last round takes a region deeper first: by so many orders of
+#: further values each (BASE a step), so that a pair at a similarity of 0.8 that met before still
+#: meets in all but one of 10,000 cases, while rows that are less alike part.
+WIDE, DEEPER = 4096, 3
 #: Nodes with at least so many confirmed links are hubs, and so many of a large region, those with
 #: most links, are held against all of its rows before its blocks are.
 HUB_LINKS, HUBS = 4, 16
@@ -56,7 +60,8 @@ def _signature(s: np.ndarray) -> np.ndarray:
 
 
 def _marks(docs: DataFrame, n: int, key: str, text: str) -> DataFrame:
-    """(node, n_shingles, print, signature): a document's set size, its set's digest, MinHash."""
+    """(key, tie, n_shingles, print, signature): a row's key and its text's hash, the size of its
+    set, the set's digest, MinHash."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -65,9 +70,9 @@ def _marks(docs: DataFrame, n: int, key: str, text: str) -> DataFrame:
                 sizes.append(len(s))
                 prints.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 signatures.append(_signature(s).tobytes())
-            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(signatures, pa.binary())], ["node", "n_shingles", "print", "signature"])
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(signatures, pa.binary())], ["key", "tie", "n_shingles", "print", "signature"])
 
-    return arrow_rows(docs.select(docs[key].cast("long").alias("node"), docs[text].alias("body"))).mapInArrow(mark, "node long, n_shingles long, print binary, signature binary")
+    return in_arrow(docs.select(docs[key].cast("long").alias("key"), docs[text].alias("body"), F.xxhash64(docs[text]).alias("tie")), mark, "key long, tie long, n_shingles long, print binary, signature binary")
 
 
 def _cells(sets: DataFrame) -> DataFrame:
@@ -81,7 +86,27 @@ def _cells(sets: DataFrame) -> DataFrame:
                 h = mix(h * np.uint64(Q) + values[:, :, j])
             yield pa.record_batch([pa.array(h.reshape(-1).view(np.int64)), pa.array(np.repeat(np.asarray(batch.column(0)), TREES)), pa.array(np.tile(np.arange(TREES, dtype=np.int8), len(values)))], ["cell", "node", "tree"])
 
-    return arrow_rows(sets.select("node", "signature"), 4096).mapInArrow(split, "cell long, node long, tree tinyint")
+    return in_arrow(sets.select("node", "signature"), split, "cell long, node long, tree tinyint", 4096)
+
+
+def _deeper(rows: DataFrame, cells: DataFrame, signatures: DataFrame, step: int) -> DataFrame:
+    """``rows`` of the regions in ``cells``, each in DEEPER new ones: those that share its region and
+    the ``step``-th BASE values of another order as well. The orders follow from the region."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u4").reshape(-1, TREES, DEPTH).astype(np.uint64)
+            cell, at = np.asarray(batch.column(0)).view(np.uint64), np.arange(batch.num_rows)
+            first = mix(cell + np.uint64(step)) % np.uint64(TREES)
+            for k in range(DEEPER):
+                tree = ((first + np.uint64(k)) % np.uint64(TREES)).astype(int)
+                h = mix(cell * np.uint64(Q) + np.uint64(k + 1))
+                for j in range(step * BASE, (step + 1) * BASE):
+                    h = mix(h * np.uint64(Q) + values[at, tree, j])
+                yield pa.record_batch([pa.array(h.view(np.int64)), *batch.columns[2:]], ["cell", "node", "n_shingles", "low", "part"])
+
+    own = rows.join(F.broadcast(cells) if cells.count() < REGION else cells, "cell", "left_semi").join(signatures, "node")
+    return in_arrow(own.select("cell", "signature", "node", "n_shingles", "low", "part"), split, "cell long, node long, n_shingles long, low binary, part long", 4096)
 
 
 def _likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -162,19 +187,23 @@ def _candidates(rows: DataFrame, low: float) -> DataFrame:
         if len(nodes) > max(1, fresh):
             yield compare(fresh)
 
-    return arrow_rows(rows, 4096).mapInArrow(pairs_of, "a long, b long").distinct()
+    return in_arrow(rows, pairs_of, "a long, b long", 4096).distinct()
 
 
 def _apart(rows: DataFrame) -> DataFrame:
-    """(cell, part, large, owner, deal, total) of each part in the regions that hold several: the
-    blocks its rows are dealt to. A region up to REGION rows is one block. In a larger one, parts
+    """(cell, part, large, owner, deal, total, others) of each part in the regions that hold several:
+    the blocks its rows are dealt to. A region up to REGION rows is one block. In a larger one, parts
     that fill a block have blocks of their own, as ``owner``, and all others are dealt together."""
     half, n, total = max(REGION // 2, 1), F.col("n"), F.col("total")
-    of_part = rows.groupBy("cell", "part").agg(F.count("*").alias("n"))
-    of_cell = of_part.groupBy("cell").agg(F.sum("n").alias("total"), F.count("*").alias("parts"), F.sum(F.when(n < half, n).otherwise(0)).alias("others")).where("parts > 1").drop("parts")
+    # Both sides are written, so that a region of very many parts can be split where they are joined.
+    of_part = cut(rows.groupBy("cell", "part").agg(F.count("*").alias("n")), "near-parts")
+    of_cell = cut(of_part.groupBy("cell").agg(F.sum("n").alias("total"), F.count("*").alias("parts"), F.sum(F.when(n < half, n).otherwise(0)).alias("others")).where("parts > 1").drop("parts"), "near-regions")
     large = total > REGION
     deal = F.when(~large, 1).when(n >= half, F.ceil(n / half)).otherwise(F.ceil(F.col("others") / half))
-    return of_part.join(of_cell, "cell").select("cell", "part", large.alias("large"), F.when(large & (n >= half), F.col("part")).alias("owner"), deal.cast("long").alias("deal"), "total")
+    out = of_part.join(of_cell, "cell").select("cell", "part", large.alias("large"), F.when(large & (n >= half), F.col("part")).alias("owner"), deal.cast("long").alias("deal"), "total", "others")
+    out = cut(out, "near-apart")
+    drop_table(of_part, of_cell)
+    return out
 
 
 def _dealt(rows: DataFrame, apart: DataFrame) -> DataFrame:
@@ -264,7 +293,7 @@ def _across(rows: DataFrame, low: float, give: str, confirm: tuple[int, float] |
 
     rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "cell").sortWithinPartitions("cell", "node")
     rows = rows.select("cell", "node", "n_shingles", "part", "low", "side", *["body"] * bool(confirm))
-    return arrow_rows(rows, 512 if confirm else 4096).mapInArrow(pairs_of, "a long, b long").distinct()
+    return in_arrow(rows, pairs_of, "a long, b long", 512 if confirm else 4096).distinct()
 
 
 class _Sets:
@@ -332,7 +361,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, n: int, similarity: float) -> D
 
     one = texts.select(F.col("node").alias("b"), F.col("body").alias("body_b"))
     both = pairs.join(one, "b").join(texts.select(F.col("node").alias("a"), F.col("body").alias("body_a")), "a")
-    return arrow_rows(both.select("a", "b", "body_a", "body_b"), 128).mapInArrow(check, "a long, b long")
+    return in_arrow(both.select("a", "b", "body_a", "body_b"), check, "a long, b long", 128)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -341,50 +370,59 @@ def components(links: DataFrame) -> DataFrame:
     Nodes are hung under the smallest neighbour in turns: larger neighbours under a node's
     smallest one, then smaller ones and the node itself, until nothing changes. Each turn is two
     grouped minima and joins, and ends in a written table; stars need two turns, a chain as many
-    as its length's logarithm.
+    as its length's logarithm. The minima, a row a node, are written before they are joined, so
+    that adaptive execution can split a node with very many links.
     """
+    print_of = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "links")
+    before = print_of(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        large = cut(large, "links-large")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        small = cut(small, "links-small")
-        same = small.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() == edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        edges = small
-        if same:
+        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "links-low")
+        large = cut(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct(), "links-large")
+        drop_table(low, edges)
+        low = cut(large.groupBy("u").agg(F.min("v").alias("m")), "links-low")
+        edges = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        edges = cut(edges, "links")
+        drop_table(low, large)
+        after = print_of(edges)
+        if after == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("part")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("part")).distinct())
+        before = after
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_shingles, component_id, kept) of every document.
+    """(key, n_shingles, component_id, kept) of every row.
 
     Words are what white space of ASCII leaves, A-Z in lower case. Documents are linked whose sets
     of ``n``-word shingles have a Jaccard similarity of ``similarity`` or more (in whole
     hundredths); ``component_id`` is the smallest key that links lead to. Keys are whole numbers.
 
-    Documents with one set are one node, the smallest key's, so copies cost a grouped minimum.
-    Nodes are sorted in TREES signature orders; those that share the first BASE values of an order
-    with another are a region and are compared there by their signatures. A first round confirms,
-    on full sets of whole texts, few pairs that hold together what is alike, and joins what is
-    linked; in regions of over REGION rows it sees neighbours of longest common prefix only, and
-    hubs are then held against all rows. The last round compares all rows of each region that are
-    still apart, large regions as pairs of blocks spread over tasks, and holds every pair that is
-    alike against full sets until its ends are joined. So no link within a region is lost, while a
-    group of m costs about m pairs; only rows of a large region that nothing joins cost a
-    comparison of signatures with each of the region's other rows.
-
-    Texts without words are linked with nothing. Null keys are linked with nothing and have a null
-    component; rows of one key count as one node with one of their sets. An empty table gives no rows.
+    Rows with one set are one node, so copies cost a grouped minimum. Nodes are sorted in TREES
+    signature orders; those that share the first BASE values of an order with another are a region
+    and are compared there by their signatures. A first round confirms, on full sets of whole texts,
+    few pairs that hold together what is alike, and joins what is linked; in regions of over REGION
+    rows it sees neighbours of longest common prefix only, and hubs are then held against all rows.
+    The last round takes the rows of each region that are still apart: regions in which more than
+    WIDE rows of small parts are left are cut deeper, by DEEPER orders of BASE further values each,
+    and once more if that isn't enough; then all rows are compared, those of large regions as pairs
+    of blocks spread over tasks, and every pair that is alike is held against full sets until its
+    ends are joined. So no link within a region is lost but for those that deeper orders part, one
+    in 10,000 at a similarity of just 0.8, and a group of m costs about m pairs.
+
+    Texts without words are linked with nothing. Rows that repeat a key are rows like others: each
+    has the component of its own text. Null keys are linked with nothing and have a null component.
+    Whole texts are taken, whatever their length; other columns are left out. An empty table gives
+    no rows.
     """
     marks = cut(_marks(docs, n, key, text), "near-marks")
-    full = marks.where("n_shingles > 0 and node is not null")
-    classes = cut(full.groupBy("print").agg(F.min("node").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")), "near-classes")
+    full = marks.where("n_shingles > 0 and key is not null")
+    classes = full.groupBy("print").agg(F.min(F.struct("key", "tie")).alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
+    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()), "near-classes")
     cells = _cells(classes)
-    shared = cells.groupBy("cell").agg(F.count("*").alias("rows")).where("rows > 1")
+    shared = cut(cells.groupBy("cell").agg(F.count("*").alias("rows")).where("rows > 1"), "near-shared")
     met = cut(cells.join(shared.select("cell", (F.col("rows") > REGION).alias("large")), "cell"), "near-met")
+    drop_table(shared)
     some = met.select("node").distinct()
     part = F.expr(f"substring(signature, {4 * BASE} + 1 + tree * {4 * DEPTH}, {4 * (DEPTH - BASE)})")
 
@@ -393,44 +431,75 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, key: s
             raw = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(-1, VALUES, 4)[:, :, 0]
             yield pa.record_batch([b.column(0), b.column(1), b.column(2), pa.array([r.tobytes() for r in raw], pa.binary())], ["node", "n_shingles", "signature", "low"])
 
-    known = arrow_rows(classes.join(some, "node", "left_semi").select("node", "n_shingles", "signature"), 4096).mapInArrow(low_bytes, "node long, n_shingles long, signature binary, low binary")
+    known = in_arrow(classes.join(some, "node", "left_semi").select("node", "n_shingles", "signature"), low_bytes, "node long, n_shingles long, signature binary, low binary", 4096)
     rows = cut(met.join(known, "node").select("cell", "node", "n_shingles", F.when(F.col("large"), part).alias("rest"), "low"), "near-rows")
-    bodies = docs.select(docs[key].cast("long").alias("k"), docs[text].alias("body")).join(some, F.col("k") == F.col("node"), "inner").select("node", "body").dropDuplicates(["node"])
-    texts = cut(bodies, "near-texts")
-    spark = docs.sparkSession
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wanted = classes.join(some, "node", "left_semi").select("node", F.col("least.key").alias("k"), F.col("least.tie").alias("t"))
+    bodies = docs.select(docs[key].cast("long").alias("k"), F.xxhash64(docs[text]).alias("t"), docs[text].alias("body"))
+    texts = cut(bodies.join(wanted, ["k", "t"]).select("node", "body").dropDuplicates(["node"]), "near-texts")
+    drop_table(met)
+    ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     low = similarity - SLACK
     # Only large regions have a rest, so that no boundary falls inside another one.
     ordered = rows.repartitionByRange(ranges, "cell", "rest").sortWithinPartitions("cell", "rest", "node")
     first = cut(_candidates(ordered.select("cell", "node", "n_shingles", "low"), low), "near-pairs")
     links = cut(_confirm(first, texts, n, similarity), "near-links")
-    free_shuffles(spark)
+    drop_table(first)
 
     def parted() -> tuple[DataFrame, DataFrame, DataFrame]:
         found = components(links)
-        again = cut(rows.join(found, "node", "left").withColumn("part", F.coalesce("part", "node")), "near-again")
-        return found, again, cut(_apart(again), "near-apart")
+        again = cut(rows.join(found, "node", "left").select("cell", "node", "n_shingles", "low", F.coalesce("part", "node").alias("part")), "near-again")
+        return found, again, _apart(again)
 
     parts_, again, apart = parted()
     if not apart.where("large").isEmpty():
         more = cut(_confirm(_across(_to_hubs(again, apart, links), low, "best"), texts, n, similarity), "near-links")
         if not more.isEmpty():
             links = links.unionByName(more)
-            drop_table(again)
+            drop_table(again, apart, parts_)
             parts_, again, apart = parted()
+    drop_table(rows)
+    for step in range(1, DEPTH // BASE):
+        wide = apart.where(F.col("others") > WIDE).select("cell").distinct()
+        if wide.isEmpty():
+            break
+        fine = cut(_deeper(again, wide, classes.select("node", "signature"), step), "near-deeper")
+        before = again
+        again = cut(again.join(wide, "cell", "left_anti").unionByName(fine), "near-again")
+        drop_table(before, fine, apart)
+        apart = _apart(again)
     # Texts go along only with rows that are alike to one of another part.
     dealt = cut(_dealt(again, apart), "near-dealt")
-    drop_table(again)
+    drop_table(again, apart)
     marked = cut(_across(dealt, low, "marks").select(F.col("a").alias("cell"), F.col("b").alias("node")), "near-marked")
     late = cut(_across(dealt.join(marked, ["cell", "node"], "left_semi").join(texts, "node"), low, "links", (n, similarity)), "near-links")
-    drop_table(dealt)
+    drop_table(dealt, marked, texts)
     if not late.isEmpty():
+        drop_table(parts_)
         parts_ = components(links.unionByName(late))
-    for table in (rows, texts, met):
-        drop_table(table)
-    free_shuffles(spark)
-    named = classes.select("print", "node").join(parts_, "node", "left").select("print", F.coalesce("part", "node").alias("component"))
+    drop_table(links, late)
+    least = classes.select("print", "node", F.col("least.key").alias("k"))
+    linked = cut(parts_.join(least.select("node", "k"), "node"), "near-parts")
+    component = cut(linked.groupBy("part").agg(F.min("k").alias("component")), "near-components")
+    named = cut(least.join(linked.join(component, "part").select("node", "component"), "node", "left").select("print", F.coalesce("component", "k").alias("component")), "near-named")
+    drop_table(linked, component, parts_, classes)
     out = marks.join(named, "print", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("node"))
-    component = F.when(F.col("node").isNotNull(), component)
-    return out.select(F.col("node").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(F.col("node") == component, F.lit(True)).alias("kept"))
+    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("key"))
+    component = F.when(F.col("key").isNotNull(), component)
+    return out.select(F.col("key").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(F.col("key") == component, F.lit(True)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, n: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` less near duplicates (see ``near_duplicates``): of each group the row with the
+    smallest key stays, null keys last; of rows that are equal there, any one.
+
+    Rows are numbered first, so keys may be null or repeat: different texts under one key stay, and
+    of rows that repeat key and text one does. Texts without words all stay. All columns stay as
+    they are, whatever their names. An empty table gives no rows.
+    """
+    rows = cut(docs.select(F.monotonically_increasing_id().alias("row_id"), F.struct(*docs.columns).alias("row")), "numbered")
+    body, own = F.col("row").getField(text), F.col("row").getField(key)
+    found = near_duplicates(rows.select("row_id", body.alias("text")), n, similarity, "row_id").select("row_id", "component_id")
+    named = found.join(rows.select("row_id", own.alias("k")), "row_id")
+    stay = named.groupBy("component_id").agg(F.min(F.struct(F.col("k").isNull().alias("last"), "k", "row_id")).alias("one"))
+    stay = cut(stay.select(F.col("one.row_id").alias("row_id")), "near-stay")
+    return rows.join(stay, "row_id", "left_semi").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
