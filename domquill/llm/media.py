@@ -12,19 +12,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import arrow_rows
+from .common import in_arrow
 
 # Fixed values of the TIFF 6.0 format: tag numbers, field types and their sizes, codecs.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES, PLANAR, PREDICTOR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317
 TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES, SAMPLE_FORMAT = 322, 323, 324, 325, 339
 FIELD = {1: "B", 2: "B", 3: "H", 4: "I", 6: "b", 7: "B", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q", 17: "q"}
 RAW, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
+#: Codecs of encoded payloads: LZW and PackBits run in Python, so most payloads are deflated.
+CODECS = (LZW, PACKBITS, *[DEFLATE] * 6)
 LZW_CLEAR, LZW_END = 256, 257
 
 #: Most rows of an encoded page: pages of a long payload stay small, and are read one at a time.
 PAGE_ROWS = 8192
 #: Samples in a row of an encoded page.
 ROW = 576
+#: Bytes that a byte of a segment decodes to at most: LZW has words of up to 4096 bytes and codes of
+#: 9 bits, deflate and PackBits gain less.
+MOST_GAIN = 4096
 
 
 class TiffError(ValueError):
@@ -206,6 +211,8 @@ def read_pages(data: bytes) -> Iterator[Page]:
                 if kind in FIELD:
                     size = struct.calcsize(FIELD[kind]) * count
                     place = at + 10 + 12 * k
+                    if not count:
+                        raise TiffError(f"field {tag} has no value")
                     if size > 4:
                         (place,) = struct.unpack_from(f"{end}I", data, place)
                     tags[tag] = struct.unpack_from(f"{end}{count}{FIELD[kind]}", data, place)
@@ -228,9 +235,13 @@ def _page(data: bytes, end: str, tags: dict, number: int) -> Page:
         w, h, offsets, sizes = tags[TILE_WIDTH][0], tags[TILE_HEIGHT][0], tags[TILE_OFFSETS], tags[TILE_BYTES]
     else:
         w, h, offsets, sizes = width, min(one(ROWS_PER_STRIP, height), height) or 1, tags[STRIP_OFFSETS], tags[STRIP_BYTES]
-    across, down = -(-width // w) if w else 0, -(-height // h)
+    if min(width, height, w, h, samples) < 1:
+        raise TiffError("a page, or its segments, have no samples")
+    across, down = -(-width // w), -(-height // h)
     if len(offsets) < across * down or len(sizes) < across * down:
         raise TiffError("segments are missing")
+    if width * height * samples * kind.itemsize > MOST_GAIN * sum(len(data[a : a + n]) for a, n in zip(offsets[: across * down], sizes)):
+        raise TiffError("a page is larger than its segments can hold")
     out = np.empty((height, width, samples), kind.newbyteorder("="))
     for k in range(across * down):
         y, x = k // across * h, k % across * w
@@ -279,10 +290,12 @@ def write_tiff(pages: list[tuple[np.ndarray, int, int, bool]]) -> bytes:
 
 
 def encode_payload(payload: bytes) -> bytes:
-    """A payload whose length is a multiple of ROW as pages of at most PAGE_ROWS rows. Pages take
-    turns: deflated strips with the horizontal predictor, then deflated tiles without."""
+    """A payload whose length is a multiple of ROW as pages of at most PAGE_ROWS rows. The codec
+    follows from the payload's checksum; pages take turns: strips with the horizontal predictor,
+    then tiles without."""
     rows = np.frombuffer(payload, np.uint8).reshape(-1, ROW)
-    return write_tiff([(rows[k : k + PAGE_ROWS], DEFLATE, 1 if n % 2 else 2, bool(n % 2)) for n, k in enumerate(range(0, len(rows), PAGE_ROWS))])
+    codec = CODECS[zlib.crc32(payload) % len(CODECS)]
+    return write_tiff([(rows[k : k + PAGE_ROWS], codec, 1 if n % 2 else 2, bool(n % 2)) for n, k in enumerate(range(0, len(rows), PAGE_ROWS))])
 
 
 def padded(text: str | None) -> tuple[bytes, int]:
@@ -292,14 +305,16 @@ def padded(text: str | None) -> tuple[bytes, int]:
 
 
 def tiff_column(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_bytes, media): every text as a TIFF file. Null and empty texts are one row of 255."""
+    """(key, n_bytes, media): every text, whole, as a TIFF file. Null and empty texts are one row of
+    samples 255; equal texts give equal files, repeated rows a row each, an empty table none. Other
+    columns are left out, and keys may be null."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [padded(t.as_py()) for t in batch.column(1)]
             yield pa.record_batch([batch.column(0), pa.array([n for _, n in made], pa.int64()), pa.array([encode_payload(p) for p, _ in made], pa.binary())], [key, "n_bytes", "media"])
 
-    return arrow_rows(docs.select(key, text), 128).mapInArrow(write, f"`{key}` {docs.schema[key].dataType.simpleString()}, n_bytes long, media binary")
+    return in_arrow(docs.select(key, text), write, f"`{key}` {docs.schema[key].dataType.simpleString()}, n_bytes long, media binary", 128)
 
 
 PAGE_FIELDS = "page int, width int, height int, samples int, bits int, compression int, predictor int, tiled boolean, pixels binary, error string"
@@ -333,37 +348,52 @@ def tiff_pages(df: DataFrame, key: str, media: str = "media") -> DataFrame:
                 except TiffError as e:
                     yield row(None if str(e) == "null" else (-1 if done is None else done) + 1, *[None] * 8, str(e))
 
-    return arrow_rows(df.select(key, media), 128).mapInArrow(walk, f"`{key}` {df.schema[key].dataType.simpleString()}, {PAGE_FIELDS}")
+    return in_arrow(df.select(key, media), walk, f"`{key}` {df.schema[key].dataType.simpleString()}, {PAGE_FIELDS}", 128)
+
+
+def _features(data: bytes | None) -> tuple:
+    if data is None:
+        raise TiffError("null")
+    sha, size, tail, pages = hashlib.sha256(), 0, b"", 0
+    counts, equal, pairs = np.zeros(256, np.int64), 0, 0
+    for p in read_pages(data):
+        raw = p.pixels.tobytes()
+        sha.update(raw)
+        size, tail, pages = size + len(raw), (tail + raw[-32:])[-32:], pages + 1
+        found = np.bincount(p.pixels.reshape(-1), minlength=len(counts))
+        counts = found + np.pad(counts, (0, len(found) - len(counts)))
+        flat = p.pixels.reshape(p.height, -1)
+        equal += int(np.count_nonzero(flat[:, 1:] == flat[:, :-1]))
+        pairs += p.height * (flat.shape[1] - 1)
+    samples, value = max(int(counts.sum()), 1), np.arange(len(counts))
+    share = counts[counts > 0] / samples
+    mean = float(counts @ value) / samples
+    spread = float(counts @ (value - mean) ** 2 / samples) ** 0.5
+    feature = f"pages={pages};mean={mean:.4f};sd={spread:.4f};entropy={abs(float(-(share * np.log2(share)).sum())):.4f};equal={equal / max(pairs, 1):.4f}"
+    return size, sha.hexdigest(), zlib.crc32(tail), len(data), hashlib.sha256(data).hexdigest(), feature, pages
 
 
 def tiff_features(df: DataFrame, key: str, media: str = "media", n_bytes: str = "n_bytes") -> DataFrame:
     """A row per file, from the same walk over its pages: sizes, digests of the samples read back
-    and of the file, and a feature string (pages, mean, deviation and entropy of the samples, and
-    the share of rows' neighbours that are equal)."""
+    (in this machine's byte order) and of the file, and a feature string (pages, mean, deviation and
+    entropy of the samples, and the share of rows' neighbours that are equal).
+
+    A null file, and one that can't be read to its end, has nulls instead, and the reason in
+    ``error``; a file without pages has no samples. Equal files give equal values, repeated rows a
+    row each, an empty table none; a page is in memory at a time. Other columns are left out.
+    """
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for k, n, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                data = blob.as_py()
-                sha, size, tail, pages = hashlib.sha256(), 0, b"", 0
-                counts, equal, pairs = np.zeros(256, np.int64), 0, 0
-                for p in read_pages(data):
-                    raw = p.pixels.tobytes()
-                    sha.update(raw)
-                    size, tail, pages = size + len(raw), (tail + raw[-32:])[-32:], pages + 1
-                    counts += np.bincount(p.pixels.reshape(-1), minlength=256)
-                    flat = p.pixels.reshape(p.height, -1)
-                    equal += int(np.count_nonzero(flat[:, 1:] == flat[:, :-1]))
-                    pairs += p.height * (p.width - 1)
-                share = counts[counts > 0] / max(size, 1)
-                mean = float(counts @ np.arange(256)) / max(size, 1)
-                spread = float(counts @ (np.arange(256) - mean) ** 2 / max(size, 1)) ** 0.5
-                feature = f"pages={pages};mean={mean:.4f};sd={spread:.4f};entropy={abs(float(-(share * np.log2(share)).sum())):.4f};equal={equal / max(pairs, 1):.4f}"
-                rows.append((k, n, size, sha.hexdigest(), zlib.crc32(tail), len(data), hashlib.sha256(data).hexdigest(), feature, pages))
-            kinds = [batch.schema.field(0).type, pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32()]
-            names = [key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pages"]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 9, kinds)], names)
-
-    schema = f"`{key}` {df.schema[key].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pages int"
-    return arrow_rows(df.select(key, n_bytes, media), 128).mapInArrow(digest, schema)
+                try:
+                    rows.append((k, n, *_features(blob.as_py()), None))
+                except TiffError as e:
+                    rows.append((k, n, *[None] * 7, str(e)))
+            kinds = [batch.schema.field(0).type, pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.string()]
+            names = [key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pages", "error"]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 10, kinds)], names)
+
+    schema = f"`{key}` {df.schema[key].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pages int, error string"
+    return in_arrow(df.select(key, n_bytes, media), digest, schema, 128)

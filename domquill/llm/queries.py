@@ -32,6 +32,7 @@ def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as a TIFF file, and what is read back from it."""
     return media.tiff_features(media.tiff_column(read(spark, sf_dir, "documents")), "doc_id")
 
 
