@@ -12,14 +12,32 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, cut
+from .common import cut, in_arrow
 
 BITS = 15
-_HIDDEN = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
+_OPEN = re.compile(r"<(?:!--|(script|style)\b|[^<>]*>)", re.I)
+_TAG = re.compile(r"<[^<>]*>")
+_SHUT = {None: re.compile("-->"), "script": re.compile(r"</script\s*>", re.I), "style": re.compile(r"</style\s*>", re.I)}
 
 
 def visible_text(page: str | None) -> str:
-    return markup.unescape(_HIDDEN.sub(" ", page or ""))
+    """A page's text without tags, comments, scripts and styles, a blank for each. What is opened
+    and never shut hides its tag alone. Each kind is looked for to the end of the page once at
+    most, so the work is linear in a page's length."""
+    page, out, at, never = page or "", [], 0, set()
+    while m := _OPEN.search(page, at):
+        out += page[at : m.start()], " "
+        name = (m[1] or "").lower() or None
+        at = m.end()
+        if m[0] == "<!--" or name:
+            shut = None if name in never else _SHUT[name].search(page, m.end())
+            if shut:
+                at = shut.end()
+            else:
+                never.add(name)
+                tag = _TAG.match(page, m.start())
+                at = tag.end() if tag else at
+    return markup.unescape("".join([*out, page[at:]]))
 
 
 def _trigrams(text: str) -> np.ndarray:
@@ -43,11 +61,15 @@ class TextModel:
 
 
 def fit_text(docs: DataFrame, max_rows: int = 4000, key: str = "doc_id", text: str = "text", lang: str = "lang", smoothing: float = 0.5) -> TextModel:
-    """Trigram shares by language from at most ``max_rows`` labelled texts, those first in order of
-    their key's hash. Rows without a language are left out. Each task adds its texts up, so the
-    driver gets a row of buckets for each task and language."""
-    chosen = docs.where(F.col(lang).isNotNull()).select(key, lang, F.xxhash64(key, lang).alias("order")).orderBy("order", key).limit(max_rows)
-    sample = docs.join(F.broadcast(chosen.select(F.col(key).alias("k"), F.col(lang).alias("label"))), docs[key].eqNullSafe(F.col("k")) & (docs[lang] == F.col("label"))).select("label", F.col(text).alias("body"))
+    """Trigram shares by language from at most ``max_rows`` labelled texts, whole, those first in
+    order of the hash of key and language. Rows without a language are left out, null texts are
+    empty, null keys are keys like others; of rows that repeat key and language the smallest text
+    counts. Without labelled rows the model has no languages. Each task adds its texts up, so the
+    driver gets a row of buckets for each of 32 tasks and language. Other columns aren't read,
+    whatever their names."""
+    own = docs.select(F.xxhash64(docs[key], docs[lang]).alias("place"), docs[lang].alias("label"), docs[text].alias("body")).where("label is not null")
+    chosen = own.select(F.col("place").alias("chosen")).orderBy("chosen").limit(max_rows).distinct()
+    sample = own.join(F.broadcast(chosen), F.col("place") == F.col("chosen")).groupBy("place").agg(F.min(F.struct("label", "body")).alias("row")).select("row.*")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -57,7 +79,7 @@ def fit_text(docs: DataFrame, max_rows: int = 4000, key: str = "doc_id", text: s
         yield pa.record_batch([pa.array(list(sums), pa.string()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], ["label", "counts"])
 
     counts: dict[str, np.ndarray] = {}
-    for r in arrow_rows(sample.coalesce(32)).mapInArrow(add, "label string, counts binary").toLocalIterator():
+    for r in in_arrow(sample.coalesce(32), add, "label string, counts binary").toLocalIterator():
         counts[r["label"]] = counts.get(r["label"], 0) + np.frombuffer(bytes(r["counts"]), np.float64)
     languages = sorted(counts)
     table = np.array([counts[x] for x in languages]).reshape(len(languages), 1 << BITS) + smoothing
@@ -81,13 +103,18 @@ def identify(pages: DataFrame, model: TextModel, key: str = "page_id", url: str
     with the weight of ``trust`` pages, and a page's own text is left out of its host's sums.
 
     Null or empty pages have no text evidence, null addresses the host "" and no suffix, a
-    declaration no language uses is a kind of its own. Sums are partial before they move and have
-    a row per host, domain, suffix or declaration and language, so a host with a third of all
-    pages is no hot task; joins back to pages are on slim rows that adaptive execution can split.
-    Repeated rows are pages like others; an empty table gives no rows.
+    declaration no language uses is a kind of its own. Ties go to the language first in order of
+    its name; under a model without languages text_lang, lang and confidence are null. Pages are
+    read whole, in time linear in their length; other columns are left out. Sums are partial before
+    they move and have a row per host, domain, suffix or declaration and language, so a host with a
+    third of all pages is no hot task; joins back to pages are on slim rows that adaptive execution
+    can split. Repeated rows are pages like others; an empty table gives no rows.
     """
+    host = lambda u: F.lower(F.regexp_extract(F.coalesce(u, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
+    declared = F.lower(F.regexp_extract(F.coalesce(pages[html], F.lit("")), r"(?is)<html\b[^>]*\blang\s*=\s*[\"']?([a-z]{2,3})", 1))
     if not model.languages:
-        raise ValueError("no labelled text to learn languages from")
+        none = [F.lit(None).cast(t).alias(c) for c, t in (("text_lang", "string"), ("lang", "string"), ("confidence", "double"))]
+        return pages.select(pages[key].alias("id"), host(pages[url]).alias("host"), declared.alias("declared")).select(F.col("id").alias(key), "host", "declared", F.substring_index("host", ".", -1).alias("suffix"), *none)
     held = pages.sparkSession.sparkContext.broadcast(model)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,11 +122,9 @@ def identify(pages: DataFrame, model: TextModel, key: str = "page_id", url: str
             logs = [held.value.log_likelihoods(visible_text(t.as_py())) for t in rows.column(2)]
             yield pa.record_batch([rows.column(0), rows.column(1), rows.column(3), pa.array([x.tolist() for x in logs], pa.list_(pa.float64()))], ["id", "url", "declared", "text_logs"])
 
-    declared = F.lower(F.regexp_extract(F.coalesce(pages[html], F.lit("")), r"(?is)<html\b[^>]*\blang\s*=\s*[\"']?([a-z]{2,3})", 1))
     kind = pages.schema[key].dataType.simpleString()
-    scored = arrow_rows(pages.select(pages[key].alias("id"), pages[url].alias("url"), pages[html].alias("html"), declared.alias("declared")), 256).mapInArrow(read, f"id {kind}, url string, declared string, text_logs array<double>")
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
-    scored = scored.withColumn("host", host).withColumn("suffix", F.substring_index("host", ".", -1)).withColumn("domain", F.substring_index("host", ".", -2))
+    scored = in_arrow(pages.select(pages[key].alias("id"), pages[url].alias("url"), pages[html].alias("html"), declared.alias("declared")), read, f"id {kind}, url string, declared string, text_logs array<double>", 256)
+    scored = scored.withColumn("host", host(F.col("url"))).withColumn("suffix", F.substring_index("host", ".", -1)).withColumn("domain", F.substring_index("host", ".", -2))
     n = len(model.languages)
     scored = cut(scored.withColumn("p", _softmax(F.col("text_logs"))).drop("url"), "langid-text")
 
