@@ -57,9 +57,9 @@ def window_text(window: Column) -> Column:
     return F.array_join(F.transform(F.slice("full", window["at"] + 1, window["n"]), lambda i: F.get("lines", i)), "\n")
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", passage_bytes: int = 180, passage_words: int = 30, drop_emptied: bool = False) -> DataFrame:
-    """``docs`` with repeated passages removed from ``text``, and the counts ``n_lines``,
-    ``n_removed`` (lines).
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", passage_bytes: int = 180, passage_words: int = 30, drop_emptied: bool = False, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """``docs`` with repeated passages removed from ``text``, and the numbers of lines and of removed
+    ones as columns named ``counts``.
 
     A passage is a run of lines of ``passage_bytes`` bytes or ``passage_words`` words or more;
     lone short lines that many documents have (headings, license lines) stay. The smallest passages
@@ -68,8 +68,9 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", passag
     equal the kept one's, and with them the blank lines between; lines that the kept one shares
     with a later one in the same text stay. Rows with equal key and text count as one document and
     get the same result. A null text has no passage and stays null; an empty one stays empty; null
-    keys come first. With ``drop_emptied`` documents go of which nothing is left. Columns of
-    ``docs`` named n_lines or n_removed are replaced.
+    keys come first. With ``drop_emptied`` documents go of which nothing is left. An empty table
+    gives no rows. Columns of ``docs`` named as ``counts`` are replaced, others stay, whatever their
+    names.
 
     Only (hash, length, position) rows are grouped. Then texts of windows that repeat are put
     against the kept ones, and removals are joined to documents; the sides of these joins that say
@@ -78,7 +79,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", passag
     window are inner or left joins whose large side adaptive execution splits; the other side has
     one row a window.
     """
-    own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    own = [c for c in docs.columns if c not in counts]
     base = docs.select(F.struct(*own).alias("row"), docs[key].alias("k"), F.xxhash64(docs[text]).alias("tie"), docs[text].alias("body"))
     pieces = with_windows(with_lines(base, "body"), passage_bytes, passage_words).select("k", "tie", held(F.transform("windows", lambda w: F.struct(w["at"].alias("at"), w["n"].alias("n"), window_text(w).alias("piece")))).alias("pieces"))
 
@@ -108,4 +109,4 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", passag
     done = left.select("row", cleaned.alias("cleaned"), F.size("lines").alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("lines") - F.size("kept_lines")).alias("n_removed"))
     if drop_emptied:
         done = done.where((F.col("n_removed") == 0) | (F.btrim("cleaned", F.lit(BLANKS + "\n")) != ""))
-    return done.select(*[F.col("cleaned").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in own], "n_lines", "n_removed")
+    return done.select(*[F.col("cleaned").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in own], F.col("n_lines").alias(counts[0]), F.col("n_removed").alias(counts[1]))
