@@ -29,15 +29,25 @@ def decamelize(s: Column) -> Column:
 
 
 def linkify(s: Column) -> Column:
-    """Addresses, then @names, then #tags to anchors, each over what the one before made."""
-    s = F.regexp_replace(s, r"(?i)(https?://[\w\-:;?&=+.%#/]+)", r'<a href="$1">$1</a>')
+    """Addresses, then @names, then #tags to anchors, each over what the one before made. An address
+    is shown without its scheme."""
+    s = F.regexp_replace(s, r"(?i)(https?://)([\w\-:;?&=+.%#/]+)", r'<a href="$1$2">$2</a>')
     s = F.regexp_replace(s, r"(^|\W)@(\w+)", r'$1<a href="https://twitter.com/$2">@$2</a>')
     return F.regexp_replace(s, r"(^|\W)#(\w+)", r'$1<a href="https://search.twitter.com/search?q=%23$2">#$2</a>')
 
 
 def expand_urls(s: Column, urls: Column) -> Column:
-    """Each entry's short address replaced by its long one, then the shown text, in order."""
-    return F.aggregate(urls, s, lambda acc, u: F.replace(F.replace(acc, u["url"], u["expanded_url"]), F.concat(F.lit(">"), u["url"], F.lit("</a>")), F.concat(F.lit(">"), u["display_url"], F.lit("</a>"))))
+    """Each entry's short address replaced by its long one, then where it is shown, which is without
+    its scheme, by the text to show; in order. Entries without a long address are left out, and
+    without a text to show only the address changes."""
+
+    def one(acc: Column, u: Column) -> Column:
+        long = F.replace(acc, u["url"], u["expanded_url"])
+        bare = F.regexp_replace(u["url"], "https?://", "")
+        shown = F.coalesce(F.replace(long, F.concat(F.lit(">"), bare), F.concat(F.lit(">"), u["display_url"])), long)
+        return F.coalesce(shown, acc)
+
+    return F.aggregate(urls, s, one)
 
 
 def newline_to_br(s: Column) -> Column:
@@ -104,13 +114,14 @@ def fill_template(s: Column, values: dict[str, Column]) -> Column:
 
 def query_param(search: Column, name: str | None = None, hash_: Column | None = None) -> Column:
     """The first value of a name in the query, as written; "" if there is none; without a name
-    the whole query. An empty search falls back to the hash."""
+    the whole query. An empty search falls back to the hash. What has no "=" has the empty name."""
     s = F.coalesce(F.nullif(search, F.lit("")), hash_ if hash_ is not None else F.lit(""), F.lit(""))
     s = F.when(F.contains(s, F.lit("?")), F.get(F.split(s, r"\?"), F.lit(1))).otherwise(s)
     if name is None:
         return url_encode_if_needed(s)
-    hit = F.get(F.filter(F.split(s, "&"), lambda p: F.substring_index(p, "=", 1) == name), F.lit(0))
-    value = F.when(F.contains(hit, F.lit("=")), F.substr(hit, F.position(F.lit("="), hit) + 1)).otherwise("")
+    own = lambda p: F.when(F.contains(p, F.lit("=")), F.substring_index(p, "=", 1)).otherwise("")
+    hit = F.get(F.filter(F.split(s, "&"), lambda p: own(p) == name), F.lit(0))
+    value = F.substr(hit, F.position(F.lit("="), hit) + 1)
     return url_encode_if_needed(F.coalesce(value, F.lit("")))
 
 
@@ -132,6 +143,19 @@ def param(pairs: Column) -> Column:
     return F.array_join(F.transform(pairs, lambda p: F.concat(enc(p["k"]), F.lit("="), enc(F.coalesce(p["v"], F.lit(""))))), "&")
 
 
+def param_lists(m: Column, traditional: bool = False) -> Column:
+    """map<string, array<string>> as a query string: a pair for each value, names with [] unless
+    traditional, or where they have it."""
+    named = lambda k: k if traditional else F.when(k.endswith("[]"), k).otherwise(F.concat(k, F.lit("[]")))
+    return param(F.flatten(F.transform(F.map_entries(m), lambda e: F.transform(e["value"], lambda v: F.struct(named(e["key"]).alias("k"), v.alias("v"))))))
+
+
+def param_nested(m: Column) -> Column:
+    """map<string, map<string, string>> as a query string of name[inner]=value."""
+    pair = lambda e, x: F.struct(F.concat(e["key"], F.lit("["), x["key"], F.lit("]")).alias("k"), x["value"].alias("v"))
+    return param(F.flatten(F.transform(F.map_entries(m), lambda e: F.transform(F.map_entries(e["value"]), lambda x: pair(e, x)))))
+
+
 def query_pairs(s: Column) -> Column:
     """A query string to array<struct<k, v>>, repeats kept."""
     return F.transform(F.filter(F.split(F.regexp_replace(s, r"^\?", ""), "&"), lambda p: p != ""), lambda p: F.struct(F.substring_index(p, "=", 1).alias("k"), F.when(F.contains(p, F.lit("=")), F.substr(p, F.position(F.lit("="), p) + 1)).otherwise("").alias("v")))
@@ -235,6 +259,22 @@ def map_flat(a: Column, f) -> Column:
     return F.filter(F.flatten(F.filter(F.transform(a, f), lambda x: x.isNotNull())), lambda x: x.isNotNull())
 
 
+def map_values(a: Column, f) -> Column:
+    """Results that aren't null."""
+    return F.filter(F.transform(a, f), lambda x: x.isNotNull())
+
+
+def unique(a: Column) -> Column:
+    """Each element once, where it is first."""
+    return F.array_distinct(a)
+
+
+def raw_sort(a: Column) -> Column:
+    """Sorted by the elements' texts, as an order that isn't given is."""
+    pairs = F.array_sort(F.transform(a, lambda x: F.struct(x.cast("string").alias("s"), x.alias("x"))))
+    return F.transform(pairs, lambda p: p["x"])
+
+
 def each_until(a: Column, go_on) -> Column:
     """The elements up to the first for which ``go_on`` is false, that one included."""
     stop = F.array_position(F.transform(a, lambda x: F.coalesce(go_on(x), F.lit(True))), False)
@@ -266,7 +306,9 @@ def add_tag(s: Column, tag: Column | str, delimiter: str = ",", unique: bool = T
 
 
 def remove_tag(s: Column, tag: str, delimiter: str = ",") -> Column:
-    return F.array_join(F.array_remove(tags(s, delimiter), tag), delimiter)
+    """Less all that are the tag as written; the others are imported again, trimmed."""
+    left = F.filter(F.split(F.coalesce(s, F.lit("")), _literal(delimiter)), lambda t: t != tag)
+    return F.array_join(F.filter(F.transform(left, tag_trim), lambda t: t != ""), delimiter)
 
 
 def import_tags(s: Column, delimiter: str = ",") -> Column:
@@ -298,10 +340,38 @@ def extend(a: Column, b: Column) -> Column:
     return F.map_zip_with(a, b, lambda k, x, y: F.coalesce(y, x))
 
 
+def extend_deep(a: Column, b: Column) -> Column:
+    """Two maps of maps: inner maps are merged, the later one's values win where they aren't null."""
+    return F.map_zip_with(a, b, lambda k, x, y: F.when(x.isNull(), y).when(y.isNull(), x).otherwise(extend(x, y)))
+
+
+def extend_lists(a: Column, b: Column) -> Column:
+    """Two lists merged place by place, the later one's values win where they aren't null."""
+    return F.zip_with(a, b, lambda x, y: F.coalesce(y, x))
+
+
+def copy_attributes(attrs: Column) -> Column:
+    """All attributes but those a library marks its elements with."""
+    return F.map_filter(attrs, lambda k, v: ~k.rlike(r"^jQuery\d+$"))
+
+
 def is_empty(m: Column) -> Column:
     return F.coalesce(F.size(m) <= 0, F.lit(True))
 
 
+def type_of(v: Column) -> Column:
+    """A VARIANT's type by its usual name: null, boolean, number, string, array or object."""
+    t = F.schema_of_variant(v)
+    return (
+        F.when(v.isNull() | (t == "VOID"), "null").when(t == "BOOLEAN", "boolean").when(t == "STRING", "string")
+        .when(t.startswith("ARRAY"), "array").when(t.startswith("OBJECT"), "object").when(t.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), "number").otherwise(F.lower(t))
+    )
+
+
+def is_plain_object(v: Column) -> Column:
+    return type_of(v) == "object"
+
+
 def coerce_data(s: Column) -> Column:
     """A data attribute's text as VARIANT: true, false, null, numbers that read back alike, JSON
     objects and lists; anything else stays text, bad JSON too."""

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import coerce_data, decamelize
 from ..plans.compile import positional, relate, select, texts
 
 KEY = ["page_id", "node_id"]
@@ -49,7 +52,9 @@ def add(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b).dropDuplicates(KEY)
 
 
-add_back = add
+def add_back(nodes: DataFrame, of: DataFrame, before: DataFrame, selector: str | None = None) -> DataFrame:
+    """The set and the one before it, or those of that one that match."""
+    return add(of, before if selector is None else filter_(nodes, before, selector))
 
 
 def merge(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -140,8 +145,74 @@ def attr(of: DataFrame, name: str) -> DataFrame:
     return first(of).select("page_id", F.try_element_at("attrs", F.lit(name)).alias("value"))
 
 
+def has_class(of: DataFrame, name: str) -> DataFrame:
+    """(page_id, has): whether any row of a page's set has the class."""
+    return of.groupBy("page_id").agg(F.bool_or(F.array_contains("classes", name)).alias("has"))
+
+
+#: How a control's value is read, by tag; ``register_value`` adds more. All others have their value
+#: attribute, "" without one.
+VALUES: dict[str, Callable[[], Column]] = {
+    "textarea": lambda: F.col("text_all"),
+    "option": lambda: F.coalesce(F.try_element_at("attrs", F.lit("value")), F.col("text_all")),
+    "input": lambda: F.coalesce(F.try_element_at("attrs", F.lit("value")), F.when(F.lower(F.coalesce(F.try_element_at("attrs", F.lit("type")), F.lit("text"))).isin("checkbox", "radio"), "on").otherwise("")),
+}
+
+
+def register_value(tag: str, read: Callable[[], Column]) -> None:
+    VALUES[tag] = read
+
+
+def val(of: DataFrame) -> DataFrame:
+    """(page_id, value): the value of each page's first row, without carriage returns; ``of`` has
+    ``text_all`` (see ``select_pages``)."""
+    value = F.coalesce(F.try_element_at("attrs", F.lit("value")), F.lit(""))
+    for tag, read in VALUES.items():
+        value = F.when(F.col("tag") == tag, read()).otherwise(value)
+    return first(of).select("page_id", F.replace(value, F.lit("\r"), F.lit("")).alias("value"))
+
+
+def data(of: DataFrame, name: str) -> DataFrame:
+    """(page_id, value): the first row's data attribute as VARIANT; the name may be in camel case."""
+    raw = F.try_element_at("attrs", F.concat(F.lit("data-"), decamelize(F.lit(name))))
+    return first(of).select("page_id", coerce_data(raw).alias("value"))
+
+
+def index_of(of: DataFrame, target: DataFrame) -> DataFrame:
+    """(page_id, pos): the place in each page's set of the target's first row, -1 if it isn't there."""
+    want = first(target).select(F.col("page_id").alias("t_page"), F.col("node_id").alias("t_id"))
+    own = index(of).select("page_id", "node_id", "pos")
+    found = want.join(own, (F.col("page_id") == F.col("t_page")) & (F.col("node_id") == F.col("t_id")), "left")
+    return found.select(F.col("t_page").alias("page_id"), F.coalesce("pos", F.lit(-1)).alias("pos"))
+
+
+def sibling_index(of: DataFrame) -> DataFrame:
+    """(page_id, pos): the place of each page's first row among its siblings."""
+    return first(of).select("page_id", (F.col("elem_idx") - 1).alias("pos"))
+
+
+def contains(of: DataFrame, other: DataFrame) -> DataFrame:
+    """(page_id, contains): whether the first row of a page's set holds the other set's first row."""
+    inner = first(other).select("page_id", F.col("node_id").alias("o_id"))
+    return first(of).join(inner, "page_id").select("page_id", ((F.col("o_id") > F.col("node_id")) & (F.col("o_id") <= F.col("last"))).alias("contains"))
+
+
+def in_walk_order(of: DataFrame, step: str) -> DataFrame:
+    """The set with ``walk``, each row's place in its page in the order that a step goes: parents and
+    previous siblings come nearest first, all others in document order."""
+    order = F.desc("node_id") if step in ("parents", "prev", "prev_all") else F.asc("node_id")
+    return of.withColumn("walk", F.row_number().over(Window.partitionBy("page_id").orderBy(order)) - 1)
+
+
+def joined_text(of: DataFrame) -> DataFrame:
+    """(page_id, text): the texts of all rows that have ``text_all``, in document order."""
+    return of.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "text_all"))), lambda x: x["text_all"]), "").alias("text"))
+
+
 def text(nodes: DataFrame, of: DataFrame) -> DataFrame:
     """(page_id, text): the texts of all rows, put together in document order."""
+    if "text_all" in of.columns:
+        return joined_text(of)
     parts = texts(nodes, of)
     return parts.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "text_all"))), lambda x: x["text_all"]), "").alias("text"))
 

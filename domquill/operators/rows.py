@@ -51,5 +51,5 @@ def sort_namespaces(ns: Column) -> Column:
 
 
 def rewrite_by_key(df: DataFrame, text: str, urls: str) -> DataFrame:
-    """Each entry's short address in the same row's text replaced by its long one."""
-    return df.withColumn(text, F.aggregate(F.col(urls), F.col(text), lambda acc, u: F.replace(acc, u["url"], u["expanded_url"])))
+    """Each entry's short address in the same row's text replaced by its long one, if it has one."""
+    return df.withColumn(text, F.aggregate(F.col(urls), F.col(text), lambda acc, u: F.coalesce(F.replace(acc, u["url"], u["expanded_url"]), acc)))

@@ -11,8 +11,9 @@ from .functions import scalars as S
 from .operators import nodeset as N
 from .operators import rows as R
 from .plans.compile import select
+from .session import written
 from .sources import feeds
-from .sources.html import nodes
+from .sources.html import nodes, select_pages
 from .streaming import events as E
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,7 +36,13 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def page_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return nodes(table(spark, d, "pages"))
+    """A node table, written once: for queries whose plans read it several times."""
+    return written(nodes(table(spark, d, "pages")), "nodes")
+
+
+def found(spark: SparkSession, d: str, selectors: str | dict[str, str], **more) -> DataFrame:
+    """Matched in the pass that parses a page."""
+    return select_pages(table(spark, d, "pages"), selectors, **more)
 
 
 # Selectors and node sets over pages
@@ -45,23 +52,23 @@ _LINKS = r"""regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)"""
 
 @query("find_links", f"SELECT page_id, i - 1 AS pos, l[i] AS href FROM (SELECT page_id, {_LINKS} AS l FROM pages), unnest(range(1, len(l) + 1)) AS t(i)")
 def find_links(spark, d):
-    return N.index(select(page_nodes(spark, d), "a[href]")).select("page_id", F.col("pos").cast("long").alias("pos"), F.try_element_at("attrs", F.lit("href")).alias("href"))
+    return N.index(found(spark, d, "a[href]")).select("page_id", F.col("pos").cast("long").alias("pos"), F.try_element_at("attrs", F.lit("href")).alias("href"))
 
 
 @query("count_matches", f"SELECT page_id, len({_LINKS})::bigint AS n FROM pages WHERE len({_LINKS}) > 0")
 def count_matches(spark, d):
-    return N.count(select(page_nodes(spark, d), "a[href]"))
+    return N.count(found(spark, d, "a[href]"))
 
 
 @query("nav_child_links", r"""SELECT page_id, unnest(regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1), '<a href="([^"]*)"', 1)) AS href FROM pages""")
 def nav_child_links(spark, d):
-    return select(page_nodes(spark, d), "nav > ul > li > a").select("page_id", F.try_element_at("attrs", F.lit("href")).alias("href"))
+    return found(spark, d, "nav > ul > li > a").select("page_id", F.try_element_at("attrs", F.lit("href")).alias("href"))
 
 
 def _hrefs(name: str, selector: str, where: str):
     @query(name, f"SELECT page_id, href FROM (SELECT page_id, unnest({_LINKS}) AS href FROM pages) WHERE {where}")
     def run(spark, d):
-        return select(page_nodes(spark, d), selector).select("page_id", F.try_element_at("attrs", F.lit("href")).alias("href"))
+        return found(spark, d, selector).select("page_id", F.try_element_at("attrs", F.lit("href")).alias("href"))
 
 
 _hrefs("attr_prefix", 'a[href^="/t"]', "starts_with(href, '/t')")
@@ -80,7 +87,7 @@ _NAV = r"""(SELECT page_id, regexp_extract_all(regexp_extract(html, '<nav>(.*?)<
 def _placed(name: str, selector: str, sql: str):
     @query(name, f"SELECT page_id, l[i] AS href FROM {_NAV}, unnest(range(1, len(l) + 1)) AS t(i) WHERE {sql}")
     def run(spark, d):
-        return select(page_nodes(spark, d), selector).select("page_id", F.try_element_at("attrs", F.lit("href")).alias("href"))
+        return found(spark, d, selector).select("page_id", F.try_element_at("attrs", F.lit("href")).alias("href"))
 
 
 _placed("nth_child", "nav li:nth-child(2n+1) > a", "i % 2 = 1")
@@ -98,26 +105,25 @@ _placed("positional_even", "nav a:even", "i % 2 = 1")
 
 @query("class_and_descendant", r"""SELECT page_id, 1::bigint AS n FROM pages WHERE html LIKE '%<div class="ad">%'""")
 def class_and_descendant(spark, d):
-    return N.count(select(page_nodes(spark, d), "body div.ad:first"))
+    return N.count(found(spark, d, "body div.ad:first"))
 
 
-@query("has_contains", r"""SELECT page_id FROM pages WHERE contains(regexp_extract(html, '<nav>(.*?)</nav>', 1), '>the<')""")
+@query("has_contains", r"""SELECT page_id FROM pages WHERE len(list_filter(regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1), '<li><a [^>]*>([^<]*)</a></li>', 1), lambda x: contains(x, 'the'))) > 0""")
 def has_contains(spark, d):
-    return select(page_nodes(spark, d), 'nav:has(li:contains("the"))').join(select(page_nodes(spark, d), "nav a[href='/the']").select("page_id"), "page_id", "left_semi").select("page_id")
+    return found(spark, d, 'nav:has(li:contains("the"))').select("page_id")
 
 
 @query("lang_pseudo", r"SELECT page_id FROM pages WHERE regexp_matches(html, '<html lang=.fr')")
 def lang_pseudo(spark, d):
-    return select(page_nodes(spark, d), "article:lang(fr)").select("page_id")
+    return found(spark, d, "article:lang(fr)").select("page_id")
 
 
 @query("title_text", r"SELECT page_id, replace(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS text FROM pages")
 def title_text(spark, d):
-    n = page_nodes(spark, d)
-    return N.text(n, select(n, "title"))
+    return N.joined_text(found(spark, d, "title"))
 
 
-@query("closest_and_traverse")
+@query("closest_and_traverse", r"""SELECT page_id, 1::bigint AS lists, len(regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1), '<a '))::bigint AS links FROM pages WHERE contains(regexp_extract(html, '<nav>(.*?)</nav>', 1), '<a ')""")
 def closest_and_traverse(spark, d):
     n = page_nodes(spark, d)
     li = select(n, "nav li")
@@ -125,24 +131,18 @@ def closest_and_traverse(spark, d):
     return up.groupBy("page_id").agg(F.countDistinct("closest_id").alias("lists"), F.count("*").alias("links"))
 
 
-@query("set_algebra")
+@query("set_algebra", r"""SELECT page_id, (greatest(least(n, 3) - 1, 0) + n - 1)::bigint AS n FROM (SELECT page_id, len(regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1), '<li>')) AS n FROM pages) WHERE n > 1""")
 def set_algebra(spark, d):
     n = page_nodes(spark, d)
     a, p = select(n, "nav a"), select(n, "nav li")
     return N.count(N.add(N.slice_(a, 1, 3), N.not_(n, p, N.first(p))))
 
 
-@query("form_fields")
-def form_fields(spark, d):
-    n = page_nodes(spark, d)
-    return N.form_fields(n, select(n, "form, body"))
-
-
 # Records, lists, addresses and times
 
 
-@query("grep_filter", "SELECT event_id, event_type, value FROM events WHERE event_type = 'click' AND value > 50")
-def grep_filter(spark, d):
+@query("grep_rows", "SELECT event_id, event_type, value FROM events WHERE event_type = 'click' AND value > 50")
+def grep_rows(spark, d):
     return table(spark, d, "events").where("event_type = 'click' and value > 50").select("event_id", "event_type", "value")
 
 
@@ -179,7 +179,7 @@ def strip_hash(spark, d):
     return table(spark, d, "pages").select("page_id", S.strip_hash(F.col("url")).alias("url"))
 
 
-@query("linkify", r"""SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(text, '(https?://[\w\-:;?&=+.%#/]+)', '<a href="\1">\1</a>', 'gi'),
+@query("linkify", r"""SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(text, '(https?://)([\w\-:;?&=+.%#/]+)', '<a href="\1\2">\2</a>', 'gi'),
   '(^|\W)@(\w+)', '\1<a href="https://twitter.com/\2">@\2</a>', 'g'), '(^|\W)#(\w+)', '\1<a href="https://search.twitter.com/search?q=%23\2">#\2</a>', 'g') AS html FROM conversations""")
 def linkify(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", S.linkify(F.col("text")).alias("html"))
@@ -234,9 +234,10 @@ def union_distinct(spark, d):
     return table(spark, d, "orders").select(F.col("o_custkey").alias("id")).union(table(spark, d, "customer").select("c_custkey")).distinct()
 
 
-@query("difference", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("difference", "SELECT s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity >= 50 AND l_returnflag = 'R' AND l_linenumber = 1)")
 def difference(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    late = table(spark, d, "lineitem").where("l_quantity >= 50 and l_returnflag = 'R' and l_linenumber = 1")
+    return table(spark, d, "supplier").join(late, F.col("s_suppkey") == F.col("l_suppkey"), "left_anti").select("s_suppkey")
 
 
 @query("intersection", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
@@ -307,25 +308,23 @@ def event_subscribe(spark, d):
     "event_debounce",
     """WITH x AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 y AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS burst FROM x)
-SELECT user_id, max(ts) AS at, arg_max(event_type, ts) AS event_type FROM y GROUP BY user_id, burst""",
+SELECT user_id, max(ts) AS at, arg_max(event_type, (ts, event_type)) AS event_type FROM y GROUP BY user_id, burst""",
 )
 def event_debounce(spark, d):
     return E.debounce(table(spark, d, "events"), ["user_id"], "ts", "1 hour", "event_type")
 
 
-@query("toggle_state", "SELECT user_id, arg_max(event_type = 'click', ts) AS shown FROM events WHERE event_type IN ('click', 'view') GROUP BY user_id")
+@query("toggle_state", "SELECT user_id, arg_max(event_type = 'click', (ts, event_type = 'click')) AS shown FROM events WHERE event_type IN ('click', 'view') GROUP BY user_id")
 def toggle_state(spark, d):
     return E.toggle_state(table(spark, d, "events"), ["user_id"], F.col("event_type") == "click", F.col("event_type") == "view", "ts")
 
 
-@query("event_dispatch")
+@query("event_dispatch", r"""WITH x AS (SELECT page_id FROM pages WHERE len(regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1), '<a ')) > 1)
+SELECT page_id AS event_id, h AS handler_id, s AS seq FROM x, (VALUES (1, 1), (2, 2)) AS t(h, s)""")
 def event_dispatch(spark, d):
     """A click on each page's second navigation link, with a handler at the list and a direct one."""
     n = page_nodes(spark, d)
     targets = N.eq(select(n, "nav a"), 1).select(F.col("page_id").alias("event_id"), "page_id", F.col("node_id").alias("target_id"), F.lit("click").alias("type"), F.array().cast("array<string>").alias("namespaces"))
     handlers = spark.createDataFrame([(1, "click", [], None, "li", False), (2, "click", ["menu"], None, "ul", True), (3, "click", [], None, "nav", False)], "handler_id int, type string, namespaces array<string>, node_id int, selector string, stops boolean")
-    matched = None
-    for s in ("li", "ul", "nav"):
-        found = select(n, s).select("page_id", "node_id", F.lit(s).alias("selector"))
-        matched = found if matched is None else matched.unionByName(found)
+    matched = found(spark, d, {s: s for s in ("li", "ul", "nav")}).select("page_id", "node_id", F.explode("matched").alias("selector"))
     return E.dispatch(targets, handlers, n, matched).select("event_id", "handler_id", "seq")

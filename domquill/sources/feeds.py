@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import xml.etree.ElementTree as ET
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,44 @@ def parse_by_type(content_type: Column, body: Column) -> Column:
     return F.when(t.rlike("json"), "json").when(t.rlike(r"\bxml"), "xml").when(t.rlike("html"), "html").when(t.rlike("javascript|ecmascript"), "script").otherwise("text")
 
 
+def parse_xml(s: Column, schema: str, strict: bool = True) -> Column:
+    """XML text to a struct; text that isn't XML raises if strict, else is null."""
+    return F.from_xml(s, schema, {"mode": "FAILFAST" if strict else "PERMISSIVE"})
+
+
+#: Converters of a response's body by kind; ``register_converter`` adds more.
+CONVERTERS: dict[str, Callable[[Column], Column]] = {
+    "json": lambda body: F.try_parse_json(strip_callback(body)),
+    "script": lambda body: F.try_parse_json(strip_callback(body)),
+}
+
+
+def register_converter(kind: str, convert: Callable[[Column], Column]) -> None:
+    CONVERTERS[kind] = convert
+
+
+def convert(responses: DataFrame, content_type: str = "content_type", body: str = "body") -> DataFrame:
+    """``responses`` with ``kind`` and ``value``, the body as VARIANT by its kind's converter; kinds
+    without one, and bodies that can't be converted, have a null value."""
+    out = responses.withColumn("kind", parse_by_type(F.col(content_type), F.col(body)))
+    value = F.lit(None).cast("variant")
+    for kind, f in CONVERTERS.items():
+        value = F.when(F.col("kind") == kind, f(F.col(body))).otherwise(value)
+    return out.withColumn("value", value)
+
+
+def get(spark: SparkSession, path: str, kind: str = "text", schema: str | None = None) -> DataFrame:
+    """A source by its kind: "text" (value: lines), "json" (rows of ``schema``, or as found), or "xml"
+    with the row tag as ``schema``."""
+    if kind == "json":
+        return (spark.read.schema(schema) if schema else spark.read).json(path)
+    return read_xml(spark, path, schema or "row") if kind == "xml" else spark.read.text(path)
+
+
+def get_json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    return get(spark, path, "json", schema)
+
+
 def read_xml(spark: SparkSession, path: str, row_tag: str) -> DataFrame:
     return spark.read.format("xml").option("rowTag", row_tag).load(path)
 
@@ -75,7 +114,7 @@ def tweets(rows: DataFrame, now: Column, count: int | None = None, replies: bool
     kept = rows if replies else rows.where(~F.coalesce(F.col("text").startswith("@"), F.lit(False)))
     kept = limited(kept, count, F.col("id_str").cast("decimal(20,0)").desc_nulls_last())
     urls = F.coalesce(F.col("entities.urls"), F.array().cast("array<struct<url:string,expanded_url:string,display_url:string>>"))
-    body = S.newline_to_br(S.expand_urls(S.linkify(F.col("text")), urls))
+    body = S.expand_urls(S.linkify(S.newline_to_br(F.col("text"))), urls)
     age = S.pretty_date(S.parse_date(F.col("created_at")), now)
     link = F.concat(F.lit(f'<a href="https://twitter.com/{user}/status/'), F.col("id_str"), F.lit('">'), age, F.lit("</a>"))
     return kept.select("id_str", F.concat(F.lit("<li><p>"), link, body, F.lit("</p></li>")).alias("html"), age.alias("age"))
@@ -86,13 +125,22 @@ def bookmark_tags(t: Column) -> Column:
     return F.coalesce(F.try_variant_get(t, "$", "array<string>"), F.array().cast("array<string>"))
 
 
-def bookmarks(rows: DataFrame, tag_url: str = "") -> DataFrame:
-    """``rows`` with ``html``; an entry without a title keeps an empty line."""
-    t = bookmark_tags(F.col("t"))
-    links = F.array_join(F.transform(t, lambda x: F.concat(F.lit(f'<a href="{tag_url}'), S.encode_component(x), F.lit('">'), S.html_escape(S.tag_trim(x)), F.lit("</a>"))), ", ")
-    title = F.concat(F.lit('<a href="'), F.col("u"), F.lit('">'), S.html_escape(F.col("d")), F.lit("</a>"))
-    note = F.when(F.coalesce("n", F.lit("")) != "", F.concat(F.lit("<p>"), S.html_escape(F.col("n")), F.lit("</p>"))).otherwise("")
-    return rows.withColumn("html", F.when(F.coalesce("d", F.lit("")) == "", "").otherwise(F.concat(F.lit("<li>"), title, note, F.when(F.size(t) > 0, F.concat(F.lit(" "), links)).otherwise(""), F.lit("</li>"))))
+def bookmarks(rows: DataFrame, cook=S.html_escape) -> DataFrame:
+    """``rows`` with ``html``; an entry without a title keeps an empty line. ``cook`` makes a text
+    safe (``S.cook_quirk`` as it was shipped)."""
+    text = lambda c: cook(F.coalesce(c, F.lit("")))
+    owner = F.concat(F.lit(' <a class="pin-tag" href="https://pinboard.in/u:'), text(F.col("a")), F.lit("/t:"))
+    links = F.array_join(F.transform(bookmark_tags(F.col("t")), lambda x: F.concat(owner, text(x), F.lit('">'), S.tag_trim(text(x)), F.lit("</a> "))), "")
+    title = F.concat(F.lit('<p><a class="pin-title" href="'), text(F.col("u")), F.lit('">'), text(F.col("d")), F.lit("</a>"))
+    note = F.when(F.coalesce("n", F.lit("")) != "", F.concat(F.lit('<span class="pin-description">'), text(F.col("n")), F.lit("</span>\n"))).otherwise("")
+    line = F.concat(F.lit('<li class="pin-item">'), title, note, links, F.lit("</p></li>\n"))
+    return rows.withColumn("html", F.when(F.coalesce("d", F.lit("")) == "", "").otherwise(line))
+
+
+def bookmark_list(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``html``, the plain list's line: an address, its tags as a title, its name."""
+    tags = F.array_join(bookmark_tags(F.col("t")), ", ")
+    return rows.withColumn("html", F.concat(F.lit('<li><a href="'), F.col("u"), F.lit('" title="Tags: '), tags, F.lit('">'), F.col("d"), F.lit("</a></li>")))
 
 
 def repositories(envelopes: DataFrame, skip_forks: bool = False, count: int | None = None) -> DataFrame:

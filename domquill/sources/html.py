@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..session import reach_package
+from ..plans.compile import select, texts
+from ..plans.match import Page, matchable
+from ..plans.selector import parse
+from ..session import reach_package, written
 
 NODE_FIELDS = (
     "node_id int, last int, parent_id int, depth int, kind tinyint, tag string, attrs map<string,string>, classes array<string>, "
@@ -105,7 +110,7 @@ class _Tree(HTMLParser):
         return self.rows
 
 
-def parse_html(html: str | None, keep_scripts: bool = True) -> list[dict]:
+def parse_html(html: str | None, keep_scripts: bool = False) -> list[dict]:
     """The nodes of a page, in document order; without ``keep_scripts`` no script elements."""
     tree = _Tree()
     tree.feed(html or "")
@@ -113,33 +118,84 @@ def parse_html(html: str | None, keep_scripts: bool = True) -> list[dict]:
         return tree.done()
     tree.close()
     tree._shut(0)
-    gone = {n for r in tree.rows if r["tag"] == "script" for n in range(r["node_id"], r["last"] + 1)}
-    left = [r for r in tree.rows if r["node_id"] not in gone]
-    new = {r["node_id"]: i for i, r in enumerate(left)}
+    new: list[int] = []  # each node's number once scripts are gone, or that of the last one before it
+    left, stop = [], -1
+    for r in tree.rows:
+        if r["tag"] == "script":
+            stop = max(stop, r["last"])
+        if r["node_id"] > stop:
+            left.append(r)
+        new.append(len(left) - 1)
     for r in left:
-        r["last"] = max(i for n, i in new.items() if n <= r["last"])
-        r["node_id"], r["parent_id"] = new[r["node_id"]], new.get(r["parent_id"])
+        r["node_id"], r["last"], r["parent_id"] = new[r["node_id"]], new[r["last"]], None if r["parent_id"] is None else new[r["parent_id"]]
     tree.rows = left
     return tree.done()
 
 
-def nodes(pages: DataFrame, key: str = "page_id", html: str = "html", keep_scripts: bool = True) -> DataFrame:
-    """``pages`` as ``page_id`` and NODE_FIELDS, one row a node, without a shuffle.
+_NAMES = [f.split()[0] for f in re.split(r", (?=\w+ \w)", NODE_FIELDS)]
+_KINDS = [pa.int32()] * 4 + [pa.int8(), pa.string(), pa.map_(pa.string(), pa.string()), pa.list_(pa.string()), pa.string()] + [pa.int32()] * 5
 
-    ``node_id`` counts in document order and ``last`` is the number of a node's last descendant, so
-    descendant-or-self is ``node_id between a.node_id and a.last``. Element positions count from 1.
-    Null and empty pages have no nodes. Attribute names are in lower case, the first of a name counts.
-    """
-    names = [f.split()[0] for f in re.split(r", (?=\w+ \w)", NODE_FIELDS)]
-    kinds = [pa.int32()] * 4 + [pa.int8(), pa.string(), pa.map_(pa.string(), pa.string()), pa.list_(pa.string()), pa.string()] + [pa.int32()] * 5
+
+def _parsed(pages: DataFrame, key: str, html: str, of_page: Callable[[str | None], Iterable[dict]], more: dict[str, pa.DataType], ddl: str) -> DataFrame:
+    """A row for each that ``of_page`` gives of a page, a few pages' at a time."""
+    names, kinds = [*_NAMES, *more], [*_KINDS, *more.values()]
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 64):  # a few pages' nodes at a time
+            for k in range(0, batch.num_rows, 64):
                 part = batch.slice(k, 64)
-                found = [(i, r) for i, h in zip(part.column(0).to_pylist(), part.column(1)) for r in parse_html(h.as_py(), keep_scripts)]
+                found = [(i, r) for i, h in zip(part.column(0).to_pylist(), part.column(1)) for r in of_page(h.as_py())]
                 columns = [pa.array([list(r[n].items()) if n == "attrs" else r.get(n) for _, r in found], t) for n, t in zip(names, kinds)]
                 yield pa.record_batch([pa.array([i for i, _ in found], batch.schema.field(0).type), *columns], ["page_id", *names])
 
     reach_package(pages.sparkSession)
-    return pages.select(key, html).mapInArrow(walk, f"page_id {pages.schema[key].dataType.simpleString()}, {NODE_FIELDS}")
+    return pages.select(key, html).mapInArrow(walk, f"page_id {pages.schema[key].dataType.simpleString()}, {NODE_FIELDS}{ddl}")
+
+
+def nodes(pages: DataFrame, key: str = "page_id", html: str = "html", keep_scripts: bool = False) -> DataFrame:
+    """``pages`` as ``page_id`` and NODE_FIELDS, one row a node, without a shuffle; no scripts unless
+    asked for.
+
+    ``node_id`` counts in document order and ``last`` is the number of a node's last descendant, so
+    descendant-or-self is ``node_id between a.node_id and a.last``. Element positions count from 1.
+    Null and empty pages have no nodes. Attribute names are in lower case, the first of a name counts.
+    A plan that reads nodes several times parses as often: ``written`` ends that.
+    """
+    return _parsed(pages, key, html, lambda h: parse_html(h, keep_scripts), {}, "")
+
+
+def select_pages(pages: DataFrame, selectors: str | dict[str, str], key: str = "page_id", html: str = "html", keep_scripts: bool = False) -> DataFrame:
+    """The elements of ``pages`` that a selector matches, each once: their rows as of ``nodes``, with
+    ``matched``, the names of those of ``selectors`` that match ("" for one without a name), and
+    ``text_all``, the text within.
+
+    Matched in the pass that parses a page: one read, no join, no shuffle. Selectors are read, and
+    wrong ones refused, before any job. One with a pseudo-class of one's own goes by way of a node
+    table (``compile.select``), as that is a Column.
+    """
+    named = {"": selectors} if isinstance(selectors, str) else dict(selectors)
+    parsed = {name: parse(s) for name, s in named.items()}
+    if not all(map(matchable, named.values())):
+        n = written(nodes(pages, key, html, keep_scripts), "nodes")
+        found = reduce(DataFrame.unionByName, [select(n, s).withColumn("name", F.lit(name)) for name, s in named.items()])
+        found = found.groupBy(*n.columns[:3]).agg(F.array_sort(F.collect_set("name")).alias("matched"))
+        own = n.join(found, n.columns[:3], "left_semi")
+        return own.join(found.select("page_id", "node_id", "matched"), ["page_id", "node_id"]).join(texts(n, own), ["page_id", "node_id"])
+
+    def of_page(text: str | None) -> Iterator[dict]:
+        page = Page(parse_html(text, keep_scripts))
+        by: dict[int, list[str]] = {}
+        for name, groups in parsed.items():
+            for k in page.select(groups):
+                by.setdefault(k, []).append(name)
+        for k in sorted(by):
+            yield page.rows[k] | {"matched": sorted(by[k]), "text_all": page.text(k)}
+
+    return _parsed(pages, key, html, of_page, {"matched": pa.list_(pa.string()), "text_all": pa.string()}, ", matched array<string>, text_all string")
+
+
+def load(pages: DataFrame, address: str, url: str = "url", **names: str) -> DataFrame:
+    """"url selector": the elements of the page at that url that match, all elements without a
+    selector. The url is a pushed filter, so other pages aren't parsed."""
+    at, _, selector = address.strip().partition(" ")
+    return select_pages(pages.where(F.col(url) == at), selector.strip() or "*", **names)

@@ -19,17 +19,53 @@ def matches(event_ns: Column, handler_ns: Column) -> Column:
 
 def subscribe(events: DataFrame, types: str) -> DataFrame:
     """Events of any of the types, given as "click.menu view"; works on a stream."""
-    wanted = [t.split(".") for t in types.split()]
+    return events.where(_any_of(types))
+
+
+def _any_of(types: str) -> Column:
     keep = F.lit(False)
-    for name, *ns in wanted:
+    for name, *ns in (t.split(".") for t in types.split()):
         has = F.lit(True) if not ns else F.size(F.array_except(F.array(*map(F.lit, ns)), F.col("namespaces"))) <= 0
         keep = keep | (F.col("type") == name) & has
-    return events.where(keep)
+    return keep
 
 
 def unsubscribe(events: DataFrame, types: str) -> DataFrame:
-    gone = subscribe(events, types)
-    return events.join(gone.select("event_id"), "event_id", "left_anti")
+    """Events of none of the types; works on a stream."""
+    return events.where(~F.coalesce(_any_of(types), F.lit(False)))
+
+
+def off(handlers: DataFrame, types: str = "", selector: str | None = None, handler_id: int | None = None) -> DataFrame:
+    """``handlers`` (see ``dispatch``) less those that fit all that is given: one of the types with its
+    namespaces ("click.menu", ".menu"), the selector ("**" for any), the handler."""
+    gone = F.lit(True) if not types else F.lit(False)
+    for t in types.split():
+        name, *ns = t.split(".")
+        own = F.lit(True) if not name else F.col("type") == name
+        gone = gone | own & (F.size(F.array_except(F.array(*map(F.lit, ns)).cast("array<string>"), F.col("namespaces"))) <= 0)
+    if selector is not None:
+        gone = gone & (F.col("selector").isNotNull() if selector == "**" else F.col("selector").eqNullSafe(F.lit(selector)))
+    if handler_id is not None:
+        gone = gone & (F.col("handler_id") == handler_id)
+    return handlers.where(~F.coalesce(gone, F.lit(False)))
+
+
+def bubble(events: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(event_id, node_id, hop): where an event at a target passes, the target first, then outwards."""
+    up = nodes.select(F.col("page_id").alias("n_page"), F.col("node_id"), F.col("last").alias("at_last"))
+    path = events.join(up, (F.col("page_id") == F.col("n_page")) & (F.col("node_id") <= F.col("target_id")) & (F.col("at_last") >= F.col("target_id")))
+    return path.select("event_id", "node_id", (F.row_number().over(Window.partitionBy("event_id").orderBy(F.desc("node_id"))) - 1).alias("hop"))
+
+
+def input_fields(events: DataFrame) -> DataFrame:
+    """``events`` with ``which`` (the key's code, else the character's; or the button: 1 left, 2 middle,
+    3 right, from a mask of 1, 4 and 2), and ``page_x``, ``page_y`` (where not given, the place in the
+    window and how far it is scrolled)."""
+    button = F.col("button").cast("int")
+    pressed = F.when(button.bitwiseAND(1) != 0, 1).when(button.bitwiseAND(2) != 0, 3).when(button.bitwiseAND(4) != 0, 2).otherwise(0)
+    which = F.coalesce(F.col("which"), F.col("char_code"), F.col("key_code"), F.when(button.isNotNull(), pressed))
+    place = lambda given, client, scroll: F.coalesce(F.col(given), F.col(client) + F.coalesce(F.col(scroll), F.lit(0)))
+    return events.withColumn("which", which).withColumn("page_x", place("page_x", "client_x", "scroll_x")).withColumn("page_y", place("page_y", "client_y", "scroll_y"))
 
 
 def once(events: DataFrame, by: list[str], order: list[str]) -> DataFrame:
@@ -69,12 +105,13 @@ def dispatch(events: DataFrame, handlers: DataFrame, nodes: DataFrame, matched:
 
 
 def debounce(events: DataFrame, by: list[str], time: str, gap: str, value: str) -> DataFrame:
-    """The last value of each burst: events less than ``gap`` apart are one; works on a stream
-    with a watermark on ``time``."""
-    return events.groupBy(*by, F.session_window(time, gap)).agg(F.max_by(value, time).alias(value), F.max(time).alias("at")).drop("session_window")
+    """The last value of each burst: events less than ``gap`` apart are one; of several at the last
+    time the largest value; works on a stream with a watermark on ``time``."""
+    last = F.max(F.struct(F.col(time).alias("at"), F.col(value).alias("value")))
+    return events.groupBy(*by, F.session_window(time, gap)).agg(last.alias("last")).select(*by, F.col("last.value").alias(value), F.col("last.at").alias("at"))
 
 
 def toggle_state(events: DataFrame, by: list[str], is_show: Column, is_hide: Column, time: str) -> DataFrame:
-    """(by, shown): each key's state after its last show or hide."""
+    """(by, shown): each key's state after its last show or hide; of several at one time a show wins."""
     told = F.when(is_show, True).when(is_hide, False)
-    return events.where(told.isNotNull()).groupBy(*by).agg(F.max_by(told, time).alias("shown"))
+    return events.where(told.isNotNull()).groupBy(*by).agg(F.max(F.struct(F.col(time).alias("at"), told.alias("shown"))).alias("last")).select(*by, F.col("last.shown").alias("shown"))
