@@ -215,7 +215,9 @@ def _reduced(group: pd.DataFrame) -> pd.DataFrame:
             total = np.bincount(at, np.concatenate([_unpack(b, np.uint32) for b in rows["body"]]), len(every)).astype(np.int64)
             answer = total[at] * 2
             answer[first] += 1
-            if kind == counts_of(0):
+            if kind != counts_of(0):
+                answer[total[at] < SYMBOL] = 0  # isn't counted
+            else:
                 out.append((DISTINCT, "", int(rows["bucket"].iloc[0]), _pack(np.array([int((total > 0).sum())]))))
         for name, bucket, x, y in zip(rows["block"], rows["bucket"], [0, *ends[:-1]], ends):
             out.append((int(kind), name, int(bucket), _pack(answer[x:y])))
@@ -278,7 +280,7 @@ class ByBlock:
         self.spark: SparkSession = made.sparkSession
         self.name, self.path = f"domquill_lm_{uuid.uuid4().hex}", new_table_path(self.spark, "lm")
         with one_step(self.spark):
-            made.write.format("parquet").bucketBy(buckets, "block").option("path", self.path).saveAsTable(self.name)
+            made.write.format("parquet").option("compression", "none").bucketBy(buckets, "block").option("path", self.path).saveAsTable(self.name)  # what is in it is packed already
         self.table = self.spark.table(self.name)
 
     def drop(self) -> None:
@@ -345,18 +347,23 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int =
     answered(in_arrow(blocks.table.select("block", "docs", "tokens", "words", "often"), words, MESSAGE, 1))
     v = sum(int(_unpack(r["body"], np.int64)[0]) for r in answers[0].table.where(F.col("kind") == DISTINCT).select("body").toLocalIterator())
 
-    def level(k: int) -> Callable[[Block], pd.DataFrame]:
+    def counts(k: int) -> Callable[[Block], pd.DataFrame]:
         def tell(block: Block) -> pd.DataFrame:
-            block.levels(min(k, depth))
-            rows = block.counts(k, buckets) if k <= depth else []
-            if k > 1:
-                rows += block.evidence(k - 1, block.probability(k - 2, n, v), buckets)
-            return _frame(rows)
+            block.levels(k)
+            return _frame(block.counts(k, buckets))
 
         return tell
 
-    for k in range(1, depth + 2):
-        answered(told(level(k)))
+    def evidence(k: int) -> Callable[[Block], pd.DataFrame]:
+        def tell(block: Block) -> pd.DataFrame:
+            block.levels(k)
+            return _frame(block.evidence(k, block.probability(k - 1, n, v), buckets))
+
+        return tell
+
+    for k in range(1, depth + 1):  # one exchange at a time is on disk
+        answered(told(counts(k)))
+        answered(told(evidence(k)))
 
     def scores(block: Block) -> pd.DataFrame:
         return _scores(block, depth, n, v)
