@@ -66,6 +66,8 @@ texts("linkify_cases", ["see HTTP://a.b/c?d=e now", "@bob and x@y, #tag", "https
 case("node_name", "a string, b string", [("DIV", "div"), ("a", "b"), (None, "x")], lambda: S.node_name_is(C("a"), C("b")), "boolean", [True, False, None])
 case("placeholder_value", "v string, p string, on boolean", [("Name", "Name", True), ("Name", "Name", False), ("Bob", "Name", True)], lambda: S.placeholder_value(C("v"), C("p"), C("on")), "varchar", ["", "Name", "Bob"])
 
+case("placeholder_set", "v string, p string", [("", "Name"), ("Bob", "Name"), (None, "Name")], lambda: F.concat_ws("/", S.placeholder_set(C("v"), C("p"))["value"], S.placeholder_set(C("v"), C("p"))["flagged"].cast("string")), "varchar", ["Name/true", "Bob/false", "Name/true"])
+
 # Addresses
 
 texts("query_param_cases", ["?a=1&b=2&a=3", "?page&page=3", "?a=x.y<", "", None, "?b=2", "x?a=1?a=2", "?a=", "?a=1=2"], lambda s: S.query_param(s, "a"), ["1", "", "x.y%3C", "", "", "", "1", "", "1=2"])
@@ -486,6 +488,9 @@ def event_normalize(spark, d):
     return _events(spark).select("event_id", "type", F.array_join("namespaces", ",").alias("ns"))
 
 
+case("toggle_fold", "e array<struct<at:long,show:boolean>>", [([(0, True), (5, False)],), ([(0, True), (12, False)],), ([(12, False), (0, True), (30, True)],), ([(0, True), (3, False), (11, False), (13, True)],), ([],)], lambda: E.toggle_fold(C("e"), 10), "boolean", [True, False, True, False, False])
+
+
 @query("event_namespaces", values([(1,), (3,)], event_id="int"))
 def event_namespaces(spark, d):
     return E.subscribe(_events(spark), "click.a view").select("event_id")

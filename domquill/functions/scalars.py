@@ -76,6 +76,12 @@ def placeholder_value(value: Column, placeholder: Column, flagged: Column) -> Co
     return F.when(flagged & (value == placeholder), "").otherwise(value)
 
 
+def placeholder_set(value: Column, placeholder: Column) -> Column:
+    """(value, flagged) of a field that is given a value: without one it shows its placeholder."""
+    blank = F.coalesce(value, F.lit("")) == ""
+    return F.struct(F.when(blank, placeholder).otherwise(value).alias("value"), blank.alias("flagged"))
+
+
 def strip_tag_suffix(s: Column) -> Column:
     return F.regexp_replace(s, "_tag$", "")
 

@@ -115,3 +115,15 @@ def toggle_state(events: DataFrame, by: list[str], is_show: Column, is_hide: Col
     """(by, shown): each key's state after its last show or hide; of several at one time a show wins."""
     told = F.when(is_show, True).when(is_hide, False)
     return events.where(told.isNotNull()).groupBy(*by).agg(F.max(F.struct(F.col(time).alias("at"), told.alias("shown"))).alias("last")).select(*by, F.col("last.shown").alias("shown"))
+
+
+def toggle_fold(told: Column, transition: int) -> Column:
+    """The state (shown) after a key's shows and hides, given as array<struct<at long, show boolean>>:
+    nothing counts that says what is so already, or comes within ``transition`` of the last change."""
+    start = F.struct(F.lit(False).alias("shown"), F.lit(None).cast("long").alias("free"))
+
+    def step(state: Column, e: Column) -> Column:
+        skip = (e["show"] == state["shown"]) | F.coalesce(e["at"] < state["free"], F.lit(False))
+        return F.when(skip, state).otherwise(F.struct(e["show"].alias("shown"), (e["at"] + transition).alias("free")))
+
+    return F.aggregate(F.array_sort(told), start, step)["shown"]
