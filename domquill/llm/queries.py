@@ -18,16 +18,19 @@ def tokenizer_path() -> str:
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's set size, group and whether it stays, by two-word shingles at 0.8."""
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents"), n=2, similarity=0.8)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words, words hit by windows of ten words of benchmark items, and the items."""
     found = decontamination.find_contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     listed = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.encode(listed, "UTF-8"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score under the suffix tree of all texts but a tenth, and the unigram score."""
     return lm.score(read(spark, sf_dir, "documents"))
 
 
@@ -37,14 +40,17 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces and their places in sequences of 1024 tokens."""
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's language by text, markup, suffix and host; learnt from the documents' labels."""
     return langid.identify(read(spark, sf_dir, "pages"), langid.fit_text(read(spark, sf_dir, "documents")))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in eight shards of near equal bytes, contiguous by key."""
     docs = read(spark, sf_dir, "documents").select("doc_id", F.col("text"), F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32"))
     out = sharding.shard_by_bytes(docs, n_shards=8, columns=["doc_id", "text_crc32"])
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -56,16 +62,19 @@ def held_out(parts: int):
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score, learnt from the labels of all keys but a fifth."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     scored = quality.score(docs, quality.fit(docs, read(spark, sf_dir, "labels").where(~held_out(5))))
     return scored.select("doc_id", F.coalesce(held_out(5), F.lit(False)).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text less repeated passages, its number of lines and of removed ones."""
     return line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record as the archives, read back, have it."""
     return warc.record_summary(spark, warc.write_archive(read(spark, sf_dir, "pages")))
 
 
