@@ -90,31 +90,38 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """(record_id, record, payload): the original records. A response's block is its payload, a
-    revisit's is empty; ``payload`` is the full one of either, by join on the digest."""
+    """(record_id, record, header, payload, fields): the original records, byte by byte. A response's block is
+    its payload, a revisit's is empty; ``payload`` is the full one of either, by join on the digest."""
     joined = read_headers(spark, path).join(read_payloads(spark, path), "sha256")
     block = F.when(F.col("fields")["warc-type"] == "response", F.col("payload")).otherwise(F.lit(b""))
-    return joined.select("record_id", F.concat("header", block, F.lit((END + END).encode())).alias("record"), "payload")
+    return joined.select("record_id", F.concat("header", block, F.lit((END + END).encode())).alias("record"), "header", "payload", "fields")
 
 
 def record_summary(spark: SparkSession, path: str) -> DataFrame:
-    """What the archive says of each page, with sizes and digests taken from the stored bytes.
+    """What the archive says of each page, from its records as they are put together again.
 
-    Sizes and digests are worked out once for each stored payload, so the join moves no payload.
+    Sizes and digests are those of the bytes read back; a record whose length or digest isn't what
+    its header says raises. Payloads move once, to their records; a payload that very many records
+    have is one row that adaptive execution hands to each part of them. Of a page that was archived
+    twice there are two records; an empty archive has none.
     """
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.record_batch([b.column(0), _base32_sha1(b.column(1)), b.column(2)], ["sha256", "payload_digest", "payload_bytes"])
-
-    stored = in_arrow(read_payloads(spark, path).select("sha256", F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("payload_bytes")), digests, "sha256 string, payload_digest string, payload_bytes long", 4096)
-    records = read_headers(spark, path).join(stored, "sha256")
-    told = F.col("fields")["warc-payload-digest"]
-    checked = F.when(told == F.concat(F.lit("sha1:"), F.col("payload_digest")), F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("a header's digest isn't its payload's: "), told)).cast("string"))
-    return records.select(
-        F.col("record_id").alias("page_id"),
-        "payload_bytes",
-        checked.alias("payload_digest"),
-        F.col("fields")["warc-type"].alias("record_type"),
-        F.try_to_number(F.regexp_extract(F.coalesce(F.col("fields")["warc-refers-to"], F.lit("")), r"<urn:page:(-?\d+)>", 1), F.lit("S9999999999999999999")).cast("long").alias("refers_to"),
+            yield pa.record_batch([b.column(0), b.column(1), _base32_sha1(b.column(2)), *b.columns[3:]], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "told"])
+
+    field = lambda name: F.col("fields")[name]
+    records = read_records(spark, path)
+    whole = F.octet_length("record") - F.octet_length("header") - 4 == field("content-length").cast("long")
+    refers = F.try_to_number(F.regexp_extract(F.coalesce(field("warc-refers-to"), F.lit("")), r"<urn:page:(-?\d+)>", 1), F.lit("S9999999999999999999")).cast("long")
+    read = records.select(
+        F.when(whole, F.col("record_id")).otherwise(F.raise_error(F.concat(F.lit("a record isn't as long as its header says: "), F.col("record_id").cast("string"))).cast("long")).alias("page_id"),
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha1("payload").alias("sha1"),
+        field("warc-type").alias("record_type"),
+        refers.alias("refers_to"),
+        field("warc-payload-digest").alias("told"),
     )
+    out = in_arrow(read, digests, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, told string", 4096)
+    checked = F.when(F.col("told") == F.concat(F.lit("sha1:"), F.col("payload_digest")), F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("a header's digest isn't its payload's: "), F.col("told"))).cast("string"))
+    return out.select("page_id", "payload_bytes", checked.alias("payload_digest"), "record_type", "refers_to")
