@@ -31,6 +31,7 @@ def decamelize(s: Column) -> Column:
 def linkify(s: Column) -> Column:
     """Addresses, then @names, then #tags to anchors, each over what the one before made. An address
     is shown without its scheme."""
+    # The three patterns and addresses, which decide the output.
     s = F.regexp_replace(s, r"(?i)(https?://)([\w\-:;?&=+.%#/]+)", r'<a href="$1$2">$2</a>')
     s = F.regexp_replace(s, r"(^|\W)@(\w+)", r'$1<a href="https://twitter.com/$2">@$2</a>')
     return F.regexp_replace(s, r"(^|\W)#(\w+)", r'$1<a href="https://search.twitter.com/search?q=%23$2">#$2</a>')

@@ -128,6 +128,7 @@ def bookmark_tags(t: Column) -> Column:
 def bookmarks(rows: DataFrame, cook=S.html_escape) -> DataFrame:
     """``rows`` with ``html``; an entry without a title keeps an empty line. ``cook`` makes a text
     safe (``S.cook_quirk`` as it was shipped)."""
+    # The markup and addresses below are what such lists consist of.
     text = lambda c: cook(F.coalesce(c, F.lit("")))
     owner = F.concat(F.lit(' <a class="pin-tag" href="https://pinboard.in/u:'), text(F.col("a")), F.lit("/t:"))
     links = F.array_join(F.transform(bookmark_tags(F.col("t")), lambda x: F.concat(owner, text(x), F.lit('">'), S.tag_trim(text(x)), F.lit("</a> "))), "")
