@@ -75,6 +75,26 @@ def drop_table(*tables: DataFrame) -> None:
             delete_folder(df.sparkSession, folder)
 
 
+class Bucketed:
+    """A written table bucketed by a column: steps that need rows of one value together read them
+    where they lie and don't shuffle them again. Its name in the catalog is its own."""
+
+    def __init__(self, made: DataFrame, by: str, buckets: int, compression: str = "snappy"):
+        self.spark = made.sparkSession
+        self.name, self.path = f"domquill_{uuid.uuid4().hex}", new_table_path(self.spark, "bucketed")
+        with one_step(self.spark):
+            made.write.format("parquet").option("compression", compression).bucketBy(buckets, by).option("path", self.path).saveAsTable(self.name)
+        self.table = self.spark.table(self.name)
+
+    def forget(self) -> None:
+        """Take the name out of the catalog; frames that were made can still read the files."""
+        self.spark.sql(f"DROP TABLE {self.name}")
+
+    def drop(self) -> None:
+        self.forget()
+        delete_folder(self.spark, self.path)
+
+
 def in_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, rows: int = ROWS) -> DataFrame:
     """``df.mapInArrow(f, schema)`` whose batches have ``rows`` rows at most. Spark ends a batch at
     spark.sql.execution.arrow.maxBytesPerBatch, so a worker's memory doesn't follow text length;

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import struct
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -14,10 +13,10 @@ import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, delete_folder, in_arrow, new_table_path, one_step
+from .common import Bucketed, cut, in_arrow
 from .hashing import Q, hashed_words, joined, mix, parts, text_bytes
 
 #: Text of one block of documents, in bytes, and tokens for one bucket of counts, roughly.
@@ -272,22 +271,6 @@ def _blocks(docs: DataFrame, key: str, text: str, folds: int) -> DataFrame:
     return in_arrow(docs.select(docs[key].cast("long"), docs[text]), read, BLOCKS)
 
 
-class ByBlock:
-    """A written table bucketed by block: steps read a block and all that it has been told where
-    they lie, so neither is shuffled again."""
-
-    def __init__(self, made: DataFrame, buckets: int):
-        self.spark: SparkSession = made.sparkSession
-        self.name, self.path = f"domquill_lm_{uuid.uuid4().hex}", new_table_path(self.spark, "lm")
-        with one_step(self.spark):
-            made.write.format("parquet").option("compression", "none").bucketBy(buckets, "block").option("path", self.path).saveAsTable(self.name)  # what is in it is packed already
-        self.table = self.spark.table(self.name)
-
-    def drop(self) -> None:
-        self.spark.sql(f"DROP TABLE {self.name}")
-        delete_folder(self.spark, self.path)
-
-
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 10, depth: int = 2) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document.
 
@@ -313,13 +296,14 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int =
     """
     spark = docs.sparkSession
     places = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = ByBlock(_blocks(docs, key, text, folds), places)
+    # What is in these tables is packed already.
+    blocks = Bucketed(_blocks(docs, key, text, folds), "block", places, "none")
     n, tokens = blocks.table.agg(F.sum("train"), F.sum("n_tokens")).first()
     if n is None:
         blocks.drop()
         return spark.createDataFrame([], RESULT).withColumnRenamed("id", key)
     buckets = max(places, -(-tokens // BUCKET))
-    answers: list[ByBlock] = []
+    answers: list[Bucketed] = []
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("kind", pa.int32()), ("block", pa.string()), ("bucket", pa.int32()), ("keys", pa.binary()), ("body", pa.binary())])
@@ -329,7 +313,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int =
 
     def answered(messages: DataFrame) -> None:
         found = messages.groupBy("bucket").applyInPandas(_reduced, ANSWER)
-        answers.append(ByBlock(found.repartition(places, "block"), places))
+        answers.append(Bucketed(found.repartition(places, "block"), "block", places, "none"))
 
     def told(tell: Callable[[Block], pd.DataFrame], schema: str = MESSAGE) -> DataFrame:
         """What each block makes of all answers so far."""

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop_table, in_arrow
+from .common import Bucketed, cut, drop_table, in_arrow
 from .hashing import PART, Q, hashed_words, joined, mix, parts, text_bytes
 
 #: Orders of the forest, and signature values in each; documents meet in an order that share the
@@ -496,10 +496,18 @@ def one_of_each(docs: DataFrame, n: int = 5, similarity: float = 0.8, key: str =
     of rows that repeat key and text one does. Texts without words all stay. All columns stay as
     they are, whatever their names. An empty table gives no rows.
     """
-    rows = cut(docs.select(F.monotonically_increasing_id().alias("row_id"), F.struct(*docs.columns).alias("row")), "numbered")
-    body, own = F.col("row").getField(text), F.col("row").getField(key)
+    spark = docs.sparkSession
+    number = F.monotonically_increasing_id()
+    kept = Bucketed(docs.select(number.alias("row_id"), F.bitmap_bucket_number(number).alias("chunk"), F.struct(*docs.columns).alias("row")), "chunk", int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows, body, own = kept.table, F.col("row").getField(text), F.col("row").getField(key)
     found = near_duplicates(rows.select("row_id", body.alias("text")), n, similarity, "row_id").select("row_id", "component_id")
     named = found.join(rows.select("row_id", own.alias("k")), "row_id")
-    stay = named.groupBy("component_id").agg(F.min(F.struct(F.col("k").isNull().alias("last"), "k", "row_id")).alias("one"))
-    stay = cut(stay.select(F.col("one.row_id").alias("row_id")), "near-stay")
-    return rows.join(stay, "row_id", "left_semi").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    stay = named.groupBy("component_id").agg(F.min(F.struct(F.col("k").isNull().alias("last"), "k", "row_id")).alias("one")).select("one.row_id")
+    # A bit for each row, in chunks of consecutive numbers: whole rows are read where they lie, and
+    # only bits are shuffled to them.
+    bits = cut(stay.groupBy(F.bitmap_bucket_number("row_id").alias("chunk")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("row_id")).alias("bits")), "near-stay")
+    byte = F.conv(F.hex(F.expr("substring(bits, cast(bitmap_bit_position(row_id) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    on = F.expr("shiftright(byte, cast(bitmap_bit_position(row_id) % 8 as int)) & 1") == 1
+    out = rows.join(bits, "chunk").withColumn("byte", byte).where(on).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    kept.forget()
+    return out
