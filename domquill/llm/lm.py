@@ -20,7 +20,7 @@ from .common import Bucketed, cut, in_arrow
 from .hashing import Q, hashed_words, joined, mix, parts, text_bytes
 
 #: Text of one block of documents, in bytes, and tokens for one bucket of counts, roughly.
-BLOCK, BUCKET = 8_000_000, 3_000_000
+BLOCK, BUCKET = 16_000_000, 3_000_000
 #: Training occurrences a context needs to be tested, and one of its symbols to be counted in it.
 CONTEXT, SYMBOL = 8, 2
 #: What a counted symbol gives up for the shorter context, in occurrences.
@@ -29,9 +29,9 @@ DISCOUNT = 0.5
 END = np.uint64(0x656E64)
 RESULT = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 BLOCKS = "block string, train long, n_tokens long, docs binary, tokens binary, words binary, often binary"
-#: Bits of a key of several words; words themselves have all 64, so that their counts are exact. Two
-#: of n such keys are taken for one with a chance of n / 2 ** 48: one key in 28,000 of 10 billion.
-KEY_BITS = 48
+#: Bits of a word's key, and of one of several words. A key is taken for another one of n with a
+#: chance of n / 2 ** bits: of 100 million words none, of 10 billion n-grams one in 1,760.
+WORD_BITS, KEY_BITS = 56, 44
 MESSAGE = "kind int, block string, bucket int, keys binary, body binary"
 ANSWER = "kind int, block string, bucket int, body binary"
 #: Kinds of messages: counts of level k, evidence for contexts of level k, and the vocabulary.
@@ -60,7 +60,7 @@ def _unpack(b: bytes, kind) -> np.ndarray:
 
 def _bits(kind: int) -> int:
     """Contexts of level 1 are words, like what is counted at level 0."""
-    return 64 if kind in (counts_of(0), contexts_of(1)) else KEY_BITS
+    return WORD_BITS if kind in (counts_of(0), contexts_of(1)) else KEY_BITS
 
 
 def _pack_keys(keys: np.ndarray) -> bytes:
@@ -243,7 +243,7 @@ def _blocks(docs: DataFrame, key: str, text: str, folds: int) -> DataFrame:
             for _, part in parts(bodies):
                 whose, words = hashed_words(*joined(part))
                 n = np.bincount(whose, minlength=len(part))
-                hashes.append(np.insert(words, np.cumsum(n), END))
+                hashes.append(np.insert(words >> np.uint64(64 - WORD_BITS), np.cumsum(n), END))
                 lengths.append(n + 1)
             words, tokens, often = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
             by_use = np.empty(len(words), np.int32)  # tokens as small numbers take less room
