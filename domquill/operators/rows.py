@@ -50,6 +50,28 @@ def sort_namespaces(ns: Column) -> Column:
     return F.array_join(F.array_sort(F.split(ns, r"\.")), ".")
 
 
+def grep(df: DataFrame, keep: Column, invert: bool = False) -> DataFrame:
+    """Rows for which ``keep`` holds, or all others; what is null doesn't hold."""
+    held = F.coalesce(keep, F.lit(False))
+    return df.where(~held if invert else held)
+
+
+def distinct_in_order(df: DataFrame, *order: str) -> DataFrame:
+    """Each row once, in order."""
+    return df.dropDuplicates().orderBy(*order)
+
+
+def union_distinct(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows of either, each once."""
+    return a.unionByName(b).distinct()
+
+
+def among(df: DataFrame, other: DataFrame, on: str, invert: bool = False) -> DataFrame:
+    """Rows whose value is one of the other frame's, or is none of them; nulls are no value."""
+    keys = other.select(F.col(on).alias("other_"))
+    return df.join(keys, F.col(on) == F.col("other_"), "left_anti" if invert else "left_semi")
+
+
 def rewrite_by_key(df: DataFrame, text: str, urls: str) -> DataFrame:
     """Each entry's short address in the same row's text replaced by its long one, if it has one."""
     return df.withColumn(text, F.aggregate(F.col(urls), F.col(text), lambda acc, u: F.coalesce(F.replace(acc, u["url"], u["expanded_url"]), acc)))

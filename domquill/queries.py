@@ -141,14 +141,14 @@ def set_algebra(spark, d):
 # Records, lists, addresses and times
 
 
-@query("grep_rows", "SELECT event_id, event_type, value FROM events WHERE event_type = 'click' AND value > 50")
-def grep_rows(spark, d):
-    return table(spark, d, "events").where("event_type = 'click' and value > 50").select("event_id", "event_type", "value")
+@query("grep_filter", "SELECT event_id, event_type, value FROM events WHERE event_type = 'click' AND value > 50")
+def grep_filter(spark, d):
+    return R.grep(table(spark, d, "events"), F.expr("event_type = 'click' and value > 50")).select("event_id", "event_type", "value")
 
 
 @query("grep_invert", "SELECT event_id, event_type FROM events WHERE NOT coalesce(event_type = 'click', false)")
 def grep_invert(spark, d):
-    return table(spark, d, "events").where(~F.coalesce(F.col("event_type") == "click", F.lit(False))).select("event_id", "event_type")
+    return R.grep(table(spark, d, "events"), F.col("event_type") == "click", invert=True).select("event_id", "event_type")
 
 
 @query("filter_then_limit", "SELECT event_id, user_id FROM events WHERE event_type <> 'error' ORDER BY ts DESC, event_id LIMIT 25")
@@ -221,7 +221,7 @@ def taglist_contains(spark, d):
 
 @query("unique_sorted", "SELECT DISTINCT user_id, event_type FROM events")
 def unique_sorted(spark, d):
-    return table(spark, d, "events").select("user_id", "event_type").dropDuplicates().orderBy("user_id", "event_type")
+    return R.distinct_in_order(table(spark, d, "events").select("user_id", "event_type"), "user_id", "event_type")
 
 
 @query("union_all", "SELECT o_custkey AS id, 0 AS source FROM orders UNION ALL SELECT c_custkey, 1 FROM customer")
@@ -231,18 +231,18 @@ def union_all(spark, d):
 
 @query("union_distinct", "SELECT o_custkey AS id FROM orders UNION SELECT c_custkey FROM customer")
 def union_distinct(spark, d):
-    return table(spark, d, "orders").select(F.col("o_custkey").alias("id")).union(table(spark, d, "customer").select("c_custkey")).distinct()
+    return R.union_distinct(table(spark, d, "orders").select(F.col("o_custkey").alias("id")), table(spark, d, "customer").select(F.col("c_custkey").alias("id")))
 
 
 @query("difference", "SELECT s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity >= 50 AND l_returnflag = 'R' AND l_linenumber = 1)")
 def difference(spark, d):
     late = table(spark, d, "lineitem").where("l_quantity >= 50 and l_returnflag = 'R' and l_linenumber = 1")
-    return table(spark, d, "supplier").join(late, F.col("s_suppkey") == F.col("l_suppkey"), "left_anti").select("s_suppkey")
+    return R.among(table(spark, d, "supplier"), late.select(F.col("l_suppkey").alias("s_suppkey")), "s_suppkey", invert=True).select("s_suppkey")
 
 
 @query("intersection", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
 def intersection(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
+    return R.among(table(spark, d, "customer"), table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey").select("c_custkey")
 
 
 @query(
