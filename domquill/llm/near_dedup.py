@@ -195,14 +195,13 @@ def _apart(rows: DataFrame) -> DataFrame:
     the blocks its rows are dealt to. A region up to REGION rows is one block. In a larger one, parts
     that fill a block have blocks of their own, as ``owner``, and all others are dealt together."""
     half, n, total = max(REGION // 2, 1), F.col("n"), F.col("total")
-    # Both sides are written, so that a region of very many parts can be split where they are joined.
     of_part = cut(rows.groupBy("cell", "part").agg(F.count("*").alias("n")), "near-parts")
-    of_cell = cut(of_part.groupBy("cell").agg(F.sum("n").alias("total"), F.count("*").alias("parts"), F.sum(F.when(n < half, n).otherwise(0)).alias("others")).where("parts > 1").drop("parts"), "near-regions")
+    of_cell = of_part.groupBy("cell").agg(F.sum("n").alias("total"), F.count("*").alias("parts"), F.sum(F.when(n < half, n).otherwise(0)).alias("others")).where("parts > 1").drop("parts")
     large = total > REGION
     deal = F.when(~large, 1).when(n >= half, F.ceil(n / half)).otherwise(F.ceil(F.col("others") / half))
     out = of_part.join(of_cell, "cell").select("cell", "part", large.alias("large"), F.when(large & (n >= half), F.col("part")).alias("owner"), deal.cast("long").alias("deal"), "total", "others")
     out = cut(out, "near-apart")
-    drop_table(of_part, of_cell)
+    drop_table(of_part)
     return out
 
 
@@ -368,27 +367,29 @@ def components(links: DataFrame) -> DataFrame:
     """(node, part): each linked node and the smallest node that can be reached from it.
 
     Nodes are hung under the smallest neighbour in turns: larger neighbours under a node's
-    smallest one, then smaller ones and the node itself, until nothing changes. Each turn is two
-    grouped minima and joins, and ends in a written table; stars need two turns, a chain as many
-    as its length's logarithm. The minima, a row a node, are written before they are joined, so
-    that adaptive execution can split a node with very many links.
+    smallest one, then smaller ones and the node itself, until all hang under nodes that hang under
+    none. Each turn is two grouped minima and joins, and ends in a written table; stars need no
+    turn or one, a chain as many as its length's logarithm. The first minima, a row a node, are
+    written before they are joined, so that adaptive execution can split a node with very many
+    links; after that a node has few smaller ones.
     """
-    print_of = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "links")
-    before = print_of(edges)
-    while True:
+    while not _are_stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "links-low")
         large = cut(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct(), "links-large")
         drop_table(low, edges)
-        low = cut(large.groupBy("u").agg(F.min("v").alias("m")), "links-low")
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
         edges = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         edges = cut(edges, "links")
-        drop_table(low, large)
-        after = print_of(edges)
-        if after == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("part")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("part")).distinct())
-        before = after
+        drop_table(large)
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("part")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("part")).distinct())
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each node hangs under one other at most, and what others hang under hangs under none."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("under"), F.lit(0).alias("over")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("under"), F.lit(1).alias("over")))
+    return ends.groupBy("node").agg(F.sum("under").alias("under"), F.max("over").alias("over")).where("under > 1 or under > 0 and over > 0").isEmpty()
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -480,8 +481,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, key: s
     least = classes.select("print", "node", F.col("least.key").alias("k"))
     linked = cut(parts_.join(least.select("node", "k"), "node"), "near-parts")
     component = cut(linked.groupBy("part").agg(F.min("k").alias("component")), "near-components")
-    named = cut(least.join(linked.join(component, "part").select("node", "component"), "node", "left").select("print", F.coalesce("component", "k").alias("component")), "near-named")
-    drop_table(linked, component, parts_, classes)
+    named = least.join(linked.join(component, "part").select("node", "component"), "node", "left").select("print", F.coalesce("component", "k").alias("component"))
+    drop_table(parts_)
     out = marks.join(named, "print", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("key"))
     component = F.when(F.col("key").isNotNull(), component)
