@@ -59,6 +59,11 @@ def html_escape(s: Column) -> Column:
     return F.replace(F.replace(F.replace(s, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
 
+def html_unescape(s: Column) -> Column:
+    """What ``html_escape`` was given. No other references are known, nor any without its semicolon."""
+    return F.replace(F.replace(F.replace(s, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&amp;"), F.lit("&"))
+
+
 def cook_quirk(s: Column) -> Column:
     """The weak escape as it was shipped: the first < and the first > only, the latter misspelt."""
     return F.regexp_replace(F.regexp_replace(s, "(?s)^([^<]*)<", r"$1&lt;"), "(?s)^([^>]*)>", r"$1&gt>")

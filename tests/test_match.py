@@ -1,5 +1,6 @@
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 from test_selectors import HTML
@@ -90,3 +91,25 @@ def test_scripts_go_in_linear_time():
     assert len(rows) == 40_001 and rows[0]["last"] == 40_000 and rows[-1]["parent_id"] == 39_999
     kept = parse_html("<div><script>a</script><i>b</i></div>")
     assert [(r["tag"], r["last"], r["elem_idx"] if r["kind"] == 1 else None) for r in kept] == [("div", 2, 1), ("i", 2, 1), (None, 2, None)]
+
+
+def test_references_can_stay_as_they_stand():
+    html = "<p class='a&amp;b' title=\"x&quot\">&ampc &lt;i&gt; \ue000&#65;</p><style>a&amp;b</style>"
+    got = parse_html(html, references=False)
+    assert (got[0]["attrs"], got[0]["classes"]) == ({"class": "a&amp;b", "title": "x&quot"}, ["a&amp;b"])
+    assert [r["text"] for r in got if r["kind"] == 3] == ["&ampc &lt;i&gt; \ue000&#65;", "a&amp;b"]
+    plain = parse_html(html)
+    assert plain[0]["attrs"] == {"class": "a&b", "title": 'x"'} and plain[1]["text"] == "&c <i> \ue000A"
+    assert [[r[k] for k in ("tag", "last", "kind")] for r in plain] == [[r[k] for k in ("tag", "last", "kind")] for r in got]
+
+
+def test_title_text_equals_its_sql_on_odd_titles(spark, tmp_path):
+    import __spark_entry__ as e
+
+    titles = ["a&ampb &amp", "t = &quot;7&quo", "&lt;b&gt; &amp;lt; &amp;amp;&am", "&#65;&eacute;", "", "&&amp;&amp"]
+    html = [f"<html><head><title>{t}</title><script>var t = '<title>no</title>'</script></head><p>x&amp;y</html>" for t in titles]
+    html += [None, "", "<p>no title</p>", "<title>one</title><title>two</title>"]
+    spark.createDataFrame(list(enumerate(html)), "page_id long, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    want = duckdb.sql(e.oracle_sql()["title_text"].replace("FROM pages", f"FROM '{tmp_path}/pages.parquet/*.parquet'")).fetchall()
+    got = e.queries()["title_text"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) == 10
