@@ -19,10 +19,10 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def parts(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+def parts(texts: list[bytes], most: int = PART) -> Iterator[tuple[int, list[bytes]]]:
     first, size = 0, 0
     for i, t in enumerate(texts):
-        if i > first and size + len(t) > PART:
+        if i > first and size + len(t) > most:
             yield first, texts[first:i]
             first, size = i, 0
         size += len(t)

@@ -5,7 +5,6 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -21,6 +20,10 @@ from .hashing import Q, hashed_words, joined, mix, parts, text_bytes
 
 #: Text of one block of documents, in bytes, and tokens for one bucket of counts, roughly.
 BLOCK, BUCKET = 16_000_000, 3_000_000
+#: Bytes that a word of a block counts for at least, so that short words don't make larger blocks.
+WORD = 4
+#: Positions of a block that are worked on at once, and bytes of its texts.
+SLICE, PART = 1 << 18, 1_000_000
 #: Training occurrences a context needs to be tested, and one of its symbols to be counted in it.
 CONTEXT, SYMBOL = 8, 2
 #: What a counted symbol gives up for the shorter context, in occurrences.
@@ -34,6 +37,8 @@ BLOCKS = "block string, train long, n_tokens long, docs binary, tokens binary, w
 WORD_BITS, KEY_BITS = 56, 44
 MESSAGE = "kind int, block string, bucket int, keys binary, body binary"
 ANSWER = "kind int, block string, bucket int, body binary"
+#: What parts words.
+BLANKS = [bytes([b]) for b in (32, *range(9, 14))]
 #: Kinds of messages: counts of level k, evidence for contexts of level k, and the vocabulary.
 DISTINCT = -1
 
@@ -81,16 +86,16 @@ def _unpack_evidence(b: bytes) -> tuple[np.ndarray, np.ndarray]:
     return _unpack(b[8 : 8 + n], np.float32).reshape(2, -1).T, _unpack(b[8 + n :], np.int64).reshape(3, -1).T
 
 
-@dataclass
-class Level:
-    """What positions have to do with contexts of so many words."""
-
-    contexts: np.ndarray  # keys of contexts, sorted
-    place: np.ndarray  # each position's context, or -1 where it is seen too rarely
-    n: np.ndarray  # the count of each position's context
-    keys: np.ndarray  # distinct keys of context and symbol, sorted, of positions that are counted
-    at: np.ndarray  # each position's key, or -1
-    c: np.ndarray | None = None  # its count, once told
+def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, sorted, and each key's number among them, as np.unique has them, in less
+    room. ``keys`` is the caller's last use of them: they are sorted in place."""
+    order = np.argsort(keys)
+    keys[:] = keys[order]
+    new = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    number = np.empty(len(keys), np.int32)
+    number[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return keys[new], number
 
 
 class Block:
@@ -98,80 +103,118 @@ class Block:
 
     ``told`` maps a kind of message to the answers, in order of the block's distinct keys of that
     kind; those keys follow from the tokens and the answers before, so they are never stored.
+
+    Level k has the n-grams of k words and a symbol: ``keys[k]`` sorted, ``at[k]`` the number of each
+    position's among them, or -1 where it isn't counted, ``n[k]`` their counts, once told, and a 0
+    for -1. A position's context of level k is what stands before it at level k - 1. All that is held
+    for each position is its document and its numbers, of 4 bytes each; whatever else is asked of
+    positions is worked out for a SLICE of them.
     """
 
     def __init__(self, name: str, docs: pd.DataFrame, tokens: np.ndarray, words: np.ndarray, told: dict[int, np.ndarray]):
-        self.name, self.docs, self.tokens, self.words, self.told = name, docs, tokens, words, told
+        self.name, self.docs, self.told = name, docs, told
         lengths = docs["n_tokens"].to_numpy()
-        self.doc = np.repeat(np.arange(len(docs)), lengths)
+        self.doc = np.repeat(np.arange(len(docs), dtype=np.int32), lengths)
         self.begins = np.zeros(len(tokens), bool)
         self.begins[np.cumsum(lengths)[:-1]] = True
         self.begins[:1] = True
-        self.train = ~docs["held_out"].to_numpy(bool)[self.doc]
+        self.held = docs["held_out"].to_numpy(bool)
+        self.end = int(np.searchsorted(words, END))
+        self.keys, self.at, self.n = [words], [tokens], []
+        self._told(0)
+
+    def _told(self, k: int) -> None:
+        answers = self.told.get(counts_of(k), np.zeros(0, np.int64))
+        if len(answers) == len(self.keys[k]):  # all were told
+            self.n.append(np.append(answers >> 1, 0))
+
+    def slices(self) -> Iterator[np.ndarray]:
+        for x in range(0, len(self.doc), SLICE):
+            yield np.arange(x, min(x + SLICE, len(self.doc)))
+
+    def before(self, k: int, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of positions: the number of their context of level ``k``, or -1, and its count."""
+        place = np.where(self.begins[i], self.end if k == 1 else -1, self.at[k - 1][i - 1])
+        n = self.n[k - 1][place]
+        return np.where(n >= CONTEXT, place, -1), n
 
     def levels(self, upto: int) -> None:
         """Levels 1 to ``upto``; all but the last have been told their counts, the last may be."""
-        c0, end = self.told[counts_of(0)] >> 1, int(np.searchsorted(self.words, END))
-        self.c_token = c = c0[self.tokens]
-        place = np.where(self.begins, end, np.roll(self.tokens, 1))
-        contexts, n = self.words, c0[place]
-        self.level: list[Level] = []
         for k in range(1, upto + 1):
-            keys = mix(np.append(contexts, np.uint64(0))[place] * np.uint64(Q) + self.words[self.tokens] + np.uint64(k)) >> np.uint64(64 - KEY_BITS)
-            here = np.flatnonzero((n >= CONTEXT) & (c >= SYMBOL))
-            at = np.full(len(keys), -1, np.int64)
-            found, at[here] = np.unique(keys[here], return_inverse=True)
-            self.level.append(Level(contexts, np.where(n >= CONTEXT, place, -1), n, found, at))
-            answers = self.told.get(counts_of(k), np.zeros(0, np.int64))
-            if len(answers) == len(found):  # all were told
-                c = self.level[-1].c = np.append(answers >> 1, 0)[at]
-                place, n, contexts = np.roll(at, 1), np.roll(c, 1), found
-                place[self.begins], n[self.begins] = -1, 0
-
-    def base(self, n: int, v: int) -> np.ndarray:
-        return (self.c_token + 0.1) / (n + 0.1 * (v + 1))
-
-    def contexts(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted keys of the contexts of level ``k`` that stand here, and each position's place."""
-        level = self.level[k - 1]
-        here = level.place >= 0
-        on = np.zeros(len(level.contexts) + 1, bool)
-        on[level.place[here]] = True
-        return level.contexts[on[:-1]], np.where(here, np.cumsum(on)[level.place] - 1, -1)
-
-    def probability(self, upto: int, n: int, v: int) -> np.ndarray:
-        """Of each position's token, in its longest kept context of ``upto`` words at most."""
-        p = self.base(n, v)
+            keys, here, m = np.empty(len(self.doc), np.uint64), np.empty(len(self.doc), bool), 0
+            for i in self.slices():
+                place, _ = self.before(k, i)
+                here[i] = on = (place >= 0) & (self.n[k - 1][self.at[k - 1][i]] >= SYMBOL)
+                words = self.keys[0][self.at[0][i[on]]]
+                keys[m : m + len(words)] = mix(self.keys[k - 1][place[on]] * np.uint64(Q) + words + np.uint64(k)) >> np.uint64(64 - KEY_BITS)
+                m += len(words)
+            found, number = numbered(keys[:m])
+            del keys
+            at = np.full(len(here), -1, np.int32)
+            at[here] = number
+            self.keys.append(found)
+            self.at.append(at)
+            self._told(k)
+
+    def base(self, i: np.ndarray, n: int, v: int) -> np.ndarray:
+        return (self.n[0][self.at[0][i]] + 0.1) / (n + 0.1 * (v + 1))
+
+    def stand(self, k: int) -> np.ndarray:
+        """Which of the keys of level ``k`` - 1 stand here as contexts; one place more, for -1."""
+        on = np.zeros(len(self.keys[k - 1]) + 1, bool)
+        for i in self.slices():
+            on[self.before(k, i)[0]] = True
+        on[-1] = False
+        return on
+
+    def shares(self, upto: int) -> list[np.ndarray]:
+        """For levels 1 to ``upto`` what contexts leave to shorter ones, by number; -1 if not kept."""
+        out = []
         for k in range(1, upto + 1):
-            level = self.level[k - 1]
-            share = np.append(self.told.get(contexts_of(k), np.zeros(0, np.float32)), np.float32(-1)).astype(float)[self.contexts(k)[1]]
-            own = np.where(level.c >= SYMBOL, level.c - DISCOUNT, 0) / np.maximum(level.n, 1)
-            p = np.where(share >= 0, own + share * p, p)
+            on = self.stand(k)
+            out.append(np.full(len(on), -1, np.float32))
+            out[-1][on] = self.told.get(contexts_of(k), np.zeros(0, np.float32))
+        return out
+
+    def probability(self, i: np.ndarray, shares: list[np.ndarray], n: int, v: int) -> np.ndarray:
+        """Of the tokens at positions, in their longest kept context of those that have ``shares``."""
+        p = self.base(i, n, v)
+        for k, share in enumerate(shares, 1):
+            place, seen = self.before(k, i)
+            left, c = share[place].astype(float), self.n[k][self.at[k][i]]
+            own = np.where(c >= SYMBOL, c - DISCOUNT, 0) / np.maximum(seen, 1)
+            p = np.where(left >= 0, own + left * p, p)
         return p
 
     def counts(self, k: int, buckets: int) -> list[tuple]:
         """Messages: how often this block's texts to learn from have each key of level ``k``."""
-        keys, at = (self.words, self.tokens) if not k else (self.level[k - 1].keys, self.level[k - 1].at)
-        n = np.bincount(at[self.train & (at >= 0)], minlength=len(keys)).astype(np.uint32)
-        return self._split(counts_of(k), keys, buckets, lambda x, y: _pack(n[x:y]))
-
-    def evidence(self, k: int, lower: np.ndarray, buckets: int) -> list[tuple]:
+        n = np.zeros(len(self.keys[k]), np.int64)
+        for i in self.slices():
+            at = self.at[k][i]
+            n += np.bincount(at[~self.held[self.doc[i]] & (at >= 0)], minlength=len(n))
+        n = n.astype(np.uint32)
+        return self._split(counts_of(k), self.keys[k], buckets, lambda x, y: _pack(n[x:y]))
+
+    def evidence(self, k: int, total: int, v: int, buckets: int) -> list[tuple]:
         """Messages: contexts of level ``k``, and for each the sums over those of its counted symbols
         that this block answers for: c ln(P(symbol | context) / P(symbol | shorter)), P(symbol |
         shorter); c, 1; and the context's count."""
-        level = self.level[k - 1]
-        contexts, place = self.contexts(k)
+        on = self.stand(k)
+        contexts = self.keys[k - 1][on[:-1]]
+        number = np.where(on, np.cumsum(on, dtype=np.int32) - 1, -1)
         floats, numbers = np.zeros((len(contexts), 2)), np.zeros((len(contexts), 3), np.int64)
-        here = place >= 0
-        numbers[place[here], 2] = level.n[here]
+        numbers[:, 2] = self.n[k - 1][on]
         answer = self.told.get(counts_of(k), np.zeros(0, np.int64))
-        first = np.full(len(level.keys), -1, np.int64)
-        positions = np.flatnonzero(level.at >= 0)
-        first[level.at[positions][::-1]] = positions[::-1]
+        first = np.full(len(self.keys[k]), -1, np.int64)
+        for i in reversed(list(self.slices())):
+            i = i[self.at[k][i] >= 0][::-1]
+            first[self.at[k][i]] = i
         mine = ((answer & 1) == 1) & ((answer >> 1) >= SYMBOL)
-        p, c = first[mine], answer[mine] >> 1
-        for into, column, value in ((floats, 0, c * np.log(c / level.n[p] / lower[p])), (floats, 1, lower[p]), (numbers, 0, c), (numbers, 1, np.ones(len(c)))):
-            into[:, column] = np.bincount(place[p], value, len(contexts))
+        p, c, shares = first[mine], answer[mine] >> 1, self.shares(k - 1)
+        lower = np.concatenate([np.zeros(0), *(self.probability(p[x : x + SLICE], shares, total, v) for x in range(0, len(p), SLICE))])
+        place, n = self.before(k, p)
+        for into, column, value in ((floats, 0, c * np.log(c / n / lower)), (floats, 1, lower), (numbers, 0, c), (numbers, 1, np.ones(len(c)))):
+            into[:, column] = np.bincount(number[place], value, len(contexts))
         return self._split(contexts_of(k), contexts, buckets, lambda x, y: _pack_evidence(floats[x:y], numbers[x:y]))
 
     def _split(self, kind: int, keys: np.ndarray, buckets: int, body: Callable[[int, int], bytes]) -> list[tuple]:
@@ -240,12 +283,14 @@ def _blocks(docs: DataFrame, key: str, text: str, folds: int) -> DataFrame:
 
         def block() -> pa.RecordBatch:
             hashes, lengths = [], []
-            for _, part in parts(bodies):
+            for _, part in parts(bodies, PART):
                 whose, words = hashed_words(*joined(part))
                 n = np.bincount(whose, minlength=len(part))
                 hashes.append(np.insert(words >> np.uint64(64 - WORD_BITS), np.cumsum(n), END))
                 lengths.append(n + 1)
-            words, tokens, often = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+            words, tokens = numbered(np.concatenate(hashes))
+            del hashes
+            often = np.bincount(tokens)
             by_use = np.empty(len(words), np.int32)  # tokens as small numbers take less room
             by_use[np.argsort(-often, kind="stable")] = np.arange(len(words))
             held = np.array([i is not None and zlib.crc32(str(i).encode()) % folds == 0 for i in ids])
@@ -261,7 +306,7 @@ def _blocks(docs: DataFrame, key: str, text: str, folds: int) -> DataFrame:
         for batch in batches:
             for i, body in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1), lower=True)):
                 ids.append(i), bodies.append(body)
-                size += len(body)
+                size += max(len(body), WORD * (1 + sum(map(body.count, BLANKS))))
                 if size >= BLOCK:
                     yield block()
                     ids, bodies, size, made = [], [], 0, made + 1
@@ -341,7 +386,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int =
     def evidence(k: int) -> Callable[[Block], pd.DataFrame]:
         def tell(block: Block) -> pd.DataFrame:
             block.levels(k)
-            return _frame(block.evidence(k, block.probability(k - 1, n, v), buckets))
+            return _frame(block.evidence(k, n, v, buckets))
 
         return tell
 
@@ -360,10 +405,11 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int =
 
 def _scores(block: Block, depth: int, n: int, v: int) -> pd.DataFrame:
     block.levels(depth)
-    total = len(block.docs)
+    shares, known, base, score = block.shares(depth), *(np.zeros(len(block.docs), t) for t in (np.int64, float, float))
+    for i in block.slices():
+        doc = block.doc[i]
+        np.add.at(known, doc, block.n[0][block.at[0][i]] > 0)
+        np.add.at(base, doc, np.log10(block.base(i, n, v)))
+        np.add.at(score, doc, np.log10(block.probability(i, shares, n, v)))
     out = block.docs[["id", "held_out", "n_tokens"]].copy()
-    out["n_known"] = np.bincount(block.doc[block.c_token > 0], minlength=total)
-    out["train_tokens"] = n
-    out["base_score"] = np.bincount(block.doc, np.log10(block.base(n, v)), total)
-    out["score"] = np.bincount(block.doc, np.log10(block.probability(depth, n, v)), total)
-    return out
+    return out.assign(n_known=known, train_tokens=n, base_score=base, score=score)

@@ -6,9 +6,11 @@ import os
 import random
 import re
 import struct
+import tracemalloc
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -333,6 +335,35 @@ def test_lm_is_a_distribution(spark):
     assert total == pytest.approx(1, rel=1e-5)
 
 
+def test_lm_memory_of_a_block():
+    """Some tens of bytes a token, of two levels, at any step."""
+    n = 2_000_000
+    r = np.random.default_rng(5)
+    words = np.unique(np.append(r.integers(0, 1 << lm.WORD_BITS, 50_000, np.uint64), lm.END))
+    tokens = np.minimum(r.geometric(1 / 200, n), len(words) - 1).astype(np.int32)
+    docs = pd.DataFrame({"id": range(1000), "held_out": [k % 10 == 0 for k in range(1000)], "n_tokens": [n // 1000] * 1000})
+    told = {lm.counts_of(0): np.bincount(tokens, minlength=len(words)) * 2 + 1}
+    first = lm.Block("b", docs, tokens, words, told)
+    first.levels(1)
+    bodies = [lm._unpack(m[4], np.uint32) for m in first.counts(1, 4)]
+    told[lm.counts_of(1)] = np.concatenate(bodies).astype(np.int64) * 2 + 1
+    del first, bodies
+    tracemalloc.start()
+    block = lm.Block("b", docs, tokens, words, told)
+    block.levels(2)
+    assert block.counts(2, 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 70 * n, peak / n
+
+
+def test_lm_blocks_are_bounded_in_tokens(spark, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK", 4000)
+    texts = [(i, "a b\tc\nd " * 25) for i in range(100)] + [(i, None) for i in range(100, 3000)]
+    made = lm._blocks(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1), "doc_id", "text", 10).select("n_tokens").collect()
+    assert sum(r["n_tokens"] for r in made) == 100 * 101 + 2900 and max(r["n_tokens"] for r in made) <= 1000 + 101
+
+
 # 4
 
 
