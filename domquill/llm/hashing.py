@@ -8,8 +8,9 @@ import numpy as np
 
 P, Q = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _INVERSE = pow(P, -1, 1 << 64)
-#: Bytes hashed at once; longer lists of texts go in parts that end between texts.
-PART = 4_000_000
+#: Bytes hashed at once, which take some 80 bytes each for a while; longer lists of texts go in parts
+#: that end between texts.
+PART = 250_000
 
 
 def mix(h: np.ndarray) -> np.ndarray:

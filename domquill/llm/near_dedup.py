@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Bucketed, cut, drop_table, in_arrow
-from .hashing import PART, Q, hashed_words, joined, mix, parts, text_bytes
+from .hashing import Q, hashed_words, joined, mix, parts, text_bytes
 
 #: Orders of the forest, and signature values in each; documents meet in an order that share the
 #: first BASE of them. At a similarity of 0.8 a pair misses all orders once in 100,000 times.
@@ -31,6 +31,8 @@ HUB_LINKS, HUBS = 4, 16
 #: Estimated similarity, below the wanted one, from which a pair is confirmed: over four standard
 #: deviations of an estimate from VALUES values.
 SLACK = 0.15
+#: Values of full sets, of 8 bytes, that a task keeps for further pairs.
+KEPT = 4_000_000
 _SEEDS = mix(np.arange(1, VALUES + 1, dtype=np.uint64) * np.uint64(Q)) | np.uint64(1)
 
 
@@ -305,7 +307,7 @@ class _Sets:
         self.held = 0
 
     def need(self, wanted: dict[int, str]) -> None:
-        if self.held > PART:
+        if self.held > KEPT:
             self.kept.clear()
             self.held = 0
         fresh = {k: t for k, t in wanted.items() if k not in self.kept}

@@ -183,7 +183,10 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2,
     made = cut(tokenized(docs, tokenizer, capacity, end_id, key, text, with_ids).withColumn("block", F.spark_partition_id()), "pack-pieces")
     counts = cut(made.groupBy("length", "block").agg(F.count("*").alias("n")), "pack-counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).toLocalIterator()}
-    plan = spark.createDataFrame(slots(plan_bins(histogram, capacity)) or [(0, 0, 0, 0, 1, 0)], "length long, lo long, hi long, first_bin long, each long, at long")
+    # From Arrow: rows of a list would go through Python workers of a kind of their own, which then
+    # stay on the executors.
+    places = zip(*(slots(plan_bins(histogram, capacity)) or [(0, 0, 0, 0, 1, 0)]))
+    plan = spark.createDataFrame(pa.table([pa.array(x, pa.int64()) for x in places], ["length", "lo", "hi", "first_bin", "each", "at"]))
     before = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("length", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     inside = Window.partitionBy("length", "block").orderBy(F.col(key), "piece", "start", "ids_crc32")

@@ -507,6 +507,11 @@ def test_bins_are_few():
         assert sum(m for m, _ in plan) <= max(large, sum(n * c for n, c in counts.items()) / 1024) * 1.25 + 2
 
 
+def test_packing_plan_starts_no_workers(spark, docs):
+    plan = packing.pack(docs, tokenizer_path())._jdf.queryExecution().optimizedPlan().toString()
+    assert "LocalRelation" in plan and "LogicalRDD" not in plan
+
+
 # 6
 
 
@@ -633,6 +638,20 @@ def test_scores_equal_a_plain_sum(spark):
         assert s == pytest.approx(1 / (1 + math.exp(-(mean + 0.3))), rel=1e-9)
 
 
+def test_memory_of_hashing():
+    """Texts are hashed in parts: what a worker holds doesn't follow the rows it takes at once."""
+    r = random.Random(9)
+    texts = [" ".join(str(r.randrange(10**6)) for _ in range(480)).encode() for _ in range(512)]
+    model = quality.Model(15, np.random.default_rng(1).normal(size=1 << 15).astype(np.float32), 0.3)
+    for work in (lambda: model.scores(texts), lambda: collections.deque(near_dedup.shingle_sets(texts, 5), 0)):
+        tracemalloc.start()
+        work()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 30e6, peak
+    assert (model.scores(texts) == np.concatenate([model.scores([t]) for t in texts])).all()
+
+
 # 9
 
 
